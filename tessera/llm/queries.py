@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.langid import op4_language_id
+from tessera.llm.ordermin import op6_order_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_order_minhash": op6_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
