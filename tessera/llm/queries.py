@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.langid import op4_language_id
 from tessera.llm.licenses import op8_license_scan
+from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_order_minhash": op6_order_minhash,
