@@ -11,12 +11,14 @@ from tessera.llm.langid import op4_language_id
 from tessera.llm.licenses import op8_license_scan
 from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
+from tessera.llm.simhash import op7_simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_order_minhash": op6_order_minhash,
+    "op7_simhash_groups": op7_simhash_groups,
     "op8_license_scan": op8_license_scan,
 }
 
