@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.langid import op4_language_id
 from tessera.llm.licenses import op8_license_scan
+from tessera.llm.lines import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
 from tessera.llm.simhash import op7_simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_order_minhash": op6_order_minhash,
@@ -22,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
