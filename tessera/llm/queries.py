@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op5_byte_bpe
+from tessera.llm.embeddings import op10_embedding_groups
 from tessera.llm.langid import op4_language_id
 from tessera.llm.licenses import op8_license_scan
 from tessera.llm.lines import OP3_SQL, op3_line_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_order_minhash": op6_order_minhash,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_license_scan": op8_license_scan,
+    "op10_embedding_groups": op10_embedding_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
