@@ -13,6 +13,7 @@ from tessera.llm.licenses import op8_license_scan
 from tessera.llm.lines import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
+from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op7_simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_order_minhash": op6_order_minhash,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_license_scan": op8_license_scan,
+    "op9_pii": op9_pii,
     "op10_embedding_groups": op10_embedding_groups,
 }
 
