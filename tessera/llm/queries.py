@@ -15,8 +15,10 @@ from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
 from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op7_simhash_groups
+from tessera.llm.suffixes import op1_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
