@@ -1,15 +1,71 @@
-"""A corpus pipeline of the operators in tessera.llm."""
+"""A corpus pipeline: what each stage keeps is the next one's input.
+
+Language ID drops documents without a language, line dedup cuts repeated runs of lines, SimHash keeps one document of
+each near-duplicate group, mixing drops or repeats documents until sources have their target weights, and the rest is encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, langid, lines, mixing, simhash
+from tessera.llm.common import cut, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those rejected (`und`: no text, or no letter in it) go."""
+    languages = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    return langid.identify(docs, languages).where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of later repeated runs; a document of which no line is left goes."""
+    out = lines.dedup_lines(docs)
+    return out.where("n_removed < n_lines OR n_removed = 0").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest doc_id (rows that repeat it stay with it)."""
+    prints = cut(simhash.with_simhash(docs.select("doc_id", "text"), into="x").select("doc_id", "x"))
+    kept = prints.join(simhash.near_groups(prints), "x").where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi")
 
 
-def run(spark, sf_dir: str):
-    from tessera.llm.common import table
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of each document as the mix takes copies of it; rows equal in doc_id, source and text are one document."""
+    row = F.xxhash64("source", "text")
+    thin = cut(docs.select("doc_id", "source", row.alias("row"), mixing.n_words(F.col("text")).alias("size")))
+    copies = mixing.mix(thin, keep=("row",)).groupBy("doc_id", "row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = cut(copies.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("of"), F.greatest(F.lit(1), F.round(F.col("copies") / F.col("rows"))).cast("int").alias("copies")))
+    taken = docs.withColumn("__row", row).join(copies, (F.col("__row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the token ids of each document, with the digests of ids and of the text that they decode to."""
+    import public_tokenizers
+
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), codec, digest=True).drop("text")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+#: Stages that iterate or hash have no SQL; tests/llm hold each against a brute-force version.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs
