@@ -219,7 +219,7 @@ class Engine:
         if collection == "DataTypes":
             return self.spark.createDataFrame(sorted(TYPES.items()), "TypeName string, SparkType string")
         if collection == "ReservedWords":
-            return self.spark.sql("SELECT keyword AS ReservedWord FROM sql_keywords() WHERE isReserved")
+            return self.spark.sql("SELECT keyword AS ReservedWord FROM sql_keywords()")
         tables = [x.name for x in self.spark.catalog.listTables()]
         if collection == "Tables":
             return self.spark.createDataFrame([(x, "VIEW" if x.upper() in self.views else "TABLE") for x in tables], "TABLE_NAME string, TABLE_TYPE string")
