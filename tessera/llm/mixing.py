@@ -36,7 +36,7 @@ def targets(hist: DataFrame, weights: tuple[int, ...], share: float) -> DataFram
     full = cap / F.col("_w") <= F.col("_level")
     level = F.max(F.when(~full, F.struct(-F.col("_rank"), F.col("_level")))).over(everything)["_level"]
     per = per.withColumn("_rank", F.row_number().over(order)).withColumn("_full", full).withColumn("_at", level)
-    return per.select("_s", "_source", "_total", F.when(F.col("_full"), cap).otherwise(F.least(cap, F.col("_at") * F.col("_w"))).alias("_target"), (F.col("_total") / F.col("_docs")).alias("_mean"))
+    return per.select("_s", "_source", "_total", F.when(F.col("_full"), cap).otherwise(F.least(cap, F.col("_at") * F.col("_w"))).alias("_target"), F.greatest(F.col("_total") / F.col("_docs"), F.lit(1e-9)).alias("_mean"))
 
 
 def _rate(tilt: Column) -> Column:
