@@ -67,8 +67,8 @@ class Languages:
     """One automaton of labelled text per language, as one table that many texts run through in step.
 
     Text is cut into stretches of SPAN characters; in each, a phrase is the longest match that begins where the one
-    before it ended, and a character that the language's text has nowhere is a phrase. A language's rate is its
-    phrases by the characters.
+    before it ended; a character that the language's text has nowhere begins a phrase, which goes on with the longest
+    match behind it. All languages see the same characters, so fewest phrases are fewest for each character.
     """
 
     SPAN = 512
