@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import n_partitions
@@ -95,6 +96,19 @@ class OrderMinHash:
         return float(((a == b) & (a != 0)).sum() / either) if either else 1.0
 
 
+def _at_least(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are x or more, by chunks of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    chunk = math.isqrt(len(bounds)) + 1
+    as_array = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    starts = bounds[::chunk]
+    before = len(starts) - F.size(F.filter(as_array(starts), lambda b: b >= x))  # chunks that begin below x
+    inside = F.slice(as_array(bounds), F.greatest(F.lit(1), (before - 1) * chunk + 1), chunk)
+    part = F.when(before > 0, F.size(F.filter(inside, lambda b: b >= x))).otherwise(0)
+    return F.greatest(F.lit(0), len(bounds) - before * chunk) + part
+
+
 def fingerprints(docs: DataFrame, method: OrderMinHash | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_chars (code points), edited_sha256 of the edited text, the fingerprint of either,
     and near_edited and near_next (0 to 1): how like the row's fingerprint is to the edited text's and the next row's.
@@ -112,7 +126,7 @@ def fingerprints(docs: DataFrame, method: OrderMinHash | None = None, doc_id: st
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = n_partitions(spark)
     bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)} if n > 1 else set())
-    above = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in bounds)), lambda x: x >= F.col("doc_id"))) if bounds else F.lit(0)
+    above = _at_least(bounds, F.col("doc_id"))
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(above))
     heads = {r["part"]: r["first"] for r in rows.select("part", "doc_id").groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
     parts = sorted(heads)
