@@ -18,6 +18,7 @@ from tessera.operators.match import match_sequence
 from tessera.operators.recursion import repeat_union
 from tessera.operators.setops import merge_union
 from tessera.operators.windows import CURRENT_ROW, GROUP, TIES, exclude_window
+from tessera.plans import session_queries
 from tessera.plans.frontend import translate
 from tessera.streaming import windows
 
@@ -388,10 +389,10 @@ def _match(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: text_query(v) for k, v in SAME.items()}
     out |= {k: text_query(s) for k, (s, _) in PAIRS.items()}
-    return out | {k: f for k, (f, _) in OPERATORS.items()}
+    return out | {k: f for k, (f, _) in (OPERATORS | session_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = dict(SAME)
     out |= {k: d for k, (_, d) in PAIRS.items()}
-    return out | {k: s for k, (_, s) in OPERATORS.items() if s is not None}
+    return out | {k: s for k, (_, s) in (OPERATORS | session_queries.QUERIES).items() if s is not None}
