@@ -220,6 +220,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS n, a AS r FROM l UNION SELECT reach.n, l.b FROM reach JOIN l ON l.a = reach.r),
+c AS (SELECT n, min(r) AS component FROM reach GROUP BY n),
+k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+
 def op10_embedding_groups(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 

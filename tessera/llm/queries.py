@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op5_byte_bpe
-from tessera.llm.embeddings import op10_embedding_groups
+from tessera.llm.embeddings import OP10_SQL, op10_embedding_groups
 from tessera.llm.langid import op4_language_id
 from tessera.llm.licenses import op8_license_scan
 from tessera.llm.lines import OP3_SQL, op3_line_dedup
@@ -15,7 +15,7 @@ from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.ordermin import op6_order_minhash
 from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op7_simhash_groups
-from tessera.llm.suffixes import op1_suffix_array
+from tessera.llm.suffixes import OP1_SQL, op1_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op10_embedding_groups": OP10_SQL,
 }

@@ -485,6 +485,23 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return meet(rows, found.where(F.col("kind") == REPEATS).unionByName(sorted_out)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+late AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE w.doc_id > m.first),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM late),
+r AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a, b AS z FROM r
+  UNION ALL SELECT r.doc_id, max(e), any_value(len(h) // 2) FROM r JOIN d USING (doc_id) GROUP BY r.doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op1_suffix_array(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 
