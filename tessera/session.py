@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,6 +30,7 @@ class Engine:
         self.tables: dict[str, FileTable] = {}
         self.views: dict[str, str] = {}
         self.modifiable: dict[str, tuple[str, dict[str, Any]]] = {}
+        self.observers: list[Callable[[str, DataFrame], None]] = []
         self.tag = f"tessera-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.session.timeZone", self.options["timeZone"])
         spark.conf.set("spark.sql.caseSensitive", str(self.options["caseSensitive"]).lower())
@@ -70,7 +71,14 @@ class Engine:
 
     def _query(self, sql: str, args: list | None = None) -> DataFrame:
         text = translate(sql, self.options["defaultNullCollation"] == "HIGH")
-        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        df = self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        for see in self.observers:
+            see(text, df)
+        return df
+
+    def observe(self, see: Callable[[str, DataFrame], None]) -> None:
+        """Have see(text for Spark, DataFrame) called for each query that is planned; plans are in df._jdf.queryExecution()."""
+        self.observers.append(see)
 
     def _refresh_views(self) -> None:
         for name, sql in self.views.items():
@@ -212,10 +220,14 @@ class Engine:
         return self._table(t[2]).merge(rows, keys, update, insert)
 
     def schema(self, collection: str = "Tables") -> DataFrame:
-        """Metadata as rows: MetaDataCollections, Tables, Columns, DataTypes or ReservedWords."""
-        kinds = {"MetaDataCollections", "Tables", "Columns", "DataTypes", "ReservedWords"}
+        """Metadata as rows: MetaDataCollections names the collections."""
+        kinds = {"MetaDataCollections", "Restrictions", "DataSourceInformation", "Tables", "Columns", "DataTypes", "ReservedWords"}
         if collection == "MetaDataCollections":
             return self.spark.createDataFrame([(k,) for k in sorted(kinds)], "CollectionName string")
+        if collection == "Restrictions":
+            return self.spark.createDataFrame([("Tables", "TABLE_NAME", 1), ("Columns", "TABLE_NAME", 1), ("Columns", "COLUMN_NAME", 2)], "CollectionName string, RestrictionName string, RestrictionNumber int")
+        if collection == "DataSourceInformation":
+            return self.spark.createDataFrame([("Spark", self.spark.version, "?", '"', not self.options["caseSensitive"])], "ProductName string, Version string, ParameterMarker string, Quote string, IgnoresCase boolean")
         if collection == "DataTypes":
             return self.spark.createDataFrame(sorted(TYPES.items()), "TypeName string, SparkType string")
         if collection == "ReservedWords":

@@ -98,7 +98,12 @@ def test_ddl_and_dml(engine):
 
 
 def test_metadata_and_model(engine, spark, tmp_path):
-    assert engine.schema("MetaDataCollections").count() == 5
+    assert engine.schema("MetaDataCollections").count() == 7
+    assert engine.schema("Restrictions").count() == 3 and engine.schema("DataSourceInformation").first()["ParameterMarker"] == "?"
+    seen = []
+    engine.observe(lambda text, df: seen.append((text, df.columns)))
+    engine.execute("SELECT ID FROM SALES")
+    assert seen == [("SELECT ID FROM SALES", ["ID"])]
     assert "SALES" in {r[0].upper() for r in engine.schema("Tables").collect()}
     assert engine.schema("Columns").where("upper(TABLE_NAME) = 'SALES'").count() == 4
     assert engine.schema("ReservedWords").count() > 10 and engine.schema("DataTypes").count() > 10
