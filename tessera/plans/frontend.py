@@ -92,6 +92,44 @@ def _interval(t: list[str]) -> str:
     return f"'{t[1][1:-1]} {t[2].lower()}'"
 
 
+_UNSIGNED = {"TINYINT": ("SMALLINT", 8), "SMALLINT": ("INT", 16), "INTEGER": ("BIGINT", 32), "INT": ("BIGINT", 32), "BIGINT": ("DECIMAL(20,0)", 64)}
+_RENAMED = {"FLOAT": "DOUBLE", "VARBINARY": "BINARY", "BINARY": "BINARY", "TIMESTAMP": "TIMESTAMP_NTZ", "VARCHAR": "STRING"}
+
+
+def _cast(value: list[str], kind: list[str]) -> list[str]:
+    """CHAR(n) is blank-padded, VARCHAR(n) cut, FLOAT a double, TIMESTAMP without a zone, and unsigned integers are the next wider type in range."""
+    name = kind[0].upper()
+    text = ["CAST", "(", *value, "AS", "STRING", ")"]
+    if name in ("CHAR", "CHARACTER") and len(kind) > 1 and kind[1] == "(":
+        return ["rpad", "(", *text, ",", kind[2], ",", "' '", ")"]
+    if name == "VARCHAR" and len(kind) > 1:
+        return ["left", "(", *text, ",", kind[2], ")"]
+    if len(kind) > 1 and kind[-1].upper() == "UNSIGNED" and name in _UNSIGNED:
+        wide, bits = _UNSIGNED[name]
+        whole = ["CAST", "(", *value, "AS", "DECIMAL(38,0)", ")"]
+        return ["CASE", "WHEN", *whole, "BETWEEN", "0", "AND", str((1 << bits) - 1), "THEN", "CAST", "(", *value, "AS", wide, ")", "WHEN", *whole, "IS", "NOT", "NULL", "THEN", "raise_error", "(", f"'out of range for {bits} unsigned bits'", ")", "END"]
+    if name in _RENAMED and "ZONE" not in (x.upper() for x in kind):
+        kind = [_RENAMED[name]]
+    return ["CAST", "(", *value, "AS", *kind, ")"]
+
+
+def _casts(t: list[str]) -> list[str]:
+    out, i = [], 0
+    while i < len(t):
+        if t[i].upper() == "CAST" and i + 1 < len(t) and t[i + 1] == "(":
+            j, depth = _closing(t, i + 1), 0
+            for k in range(i + 2, j):
+                depth += (t[k] == "(") - (t[k] == ")")
+                if depth == 0 and t[k].upper() == "AS":
+                    break
+            out += _cast(_casts(t[i + 2 : k]), t[k + 1 : j])
+            i = j + 1
+            continue
+        out.append(t[i])
+        i += 1
+    return out
+
+
 def _window_tables(t: list[str]) -> list[str]:
     """TABLE(TUMBLE(TABLE x, DESCRIPTOR(c), ...)), HOP and SESSION as sub-queries."""
     out, i = [], 0
@@ -247,7 +285,7 @@ def translate(sql: str, nulls_high: bool = True) -> str:
         raise NotImplementedError("EXCLUDE in a window frame: use tessera.operators.windows.exclude_window")
     if "MATCH_RECOGNIZE" in upper:
         raise NotImplementedError("MATCH_RECOGNIZE: use tessera.operators.match.match_sequence")
-    for step in (_literals, _json, _window_tables, _unnest, _asof, _pages):
+    for step in (_literals, _casts, _json, _window_tables, _unnest, _asof, _pages):
         t = step(t)
     t = _orders(t, nulls_high)
     return " ".join(t).replace(" . ", ".").replace(" .*", ".*")

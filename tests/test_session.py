@@ -42,6 +42,13 @@ def test_text_is_left_alone():
             translate(sql)
 
 
+def test_casts(engine):
+    r = engine.execute("SELECT CAST('ab' AS CHAR(5)), CAST('abcdef' AS VARCHAR(3)), CAST(12 AS VARCHAR), CAST(1 AS FLOAT), CAST(255 AS TINYINT UNSIGNED), CAST(CAST('7' AS INTEGER) AS CHAR(2)), CAST(NULL AS SMALLINT UNSIGNED), CAST('2024-01-02 03:04:05' AS TIMESTAMP)").first()
+    assert tuple(r)[:7] == ("ab   ", "abc", "12", 1.0, 255, "7 ", None) and r[7].hour == 3
+    with pytest.raises(Exception, match="out of range"):
+        engine.execute("SELECT CAST(-1 AS TINYINT UNSIGNED)").collect()
+
+
 def test_asof_and_unnest(engine):
     got = engine.execute('SELECT a."ID", b."ID" FROM "SALES" a LEFT ASOF JOIN (SELECT * FROM "SALES" WHERE "ID" > 3) b MATCH_CONDITION b."ID" <= a."ID" ON a."REGION" = b."REGION" ORDER BY a."ID"').collect()
     assert [tuple(r) for r in got] == [(1, None), (2, None), (3, None), (4, 4), (5, 5), (6, 6)]
