@@ -106,12 +106,12 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     """A spanning forest (a, b) of the links between the n distinct fingerprints x: all pairs at RADIUS bits or fewer.
 
     The 64 bits are cut into blocks; RADIUS bits touch at most RADIUS of them, so two linked fingerprints agree
-    in some choice of all but RADIUS blocks, and each such choice is a bucket. With more fingerprints there are more
-    blocks and so smaller buckets; the answer is the same. In a bucket a tile holds a range of population counts
+    in some choice of all but RADIUS blocks, and each such choice is a bucket. There are as many blocks as make chance
+    company in a bucket rare (one in sixteen) for n fingerprints; the answer is the same for any number. In a bucket a tile holds a range of population counts
     wider than RADIUS, at home, and as visitors those of the range above: tiles further apart are never compared. Tiles of
     more than TILE rows are cut into parts, and each two parts meet in a task of their own.
     """
-    blocks = 4 if n <= 1 << 20 else 5 if n <= 1 << 30 else 6
+    blocks = next(b for b in itertools.count(RADIUS + 1) if 16 * n <= 1 << 64 * (b - RADIUS) // b or b == 12)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in kept) for kept in itertools.combinations(range(blocks), blocks - RADIUS)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
