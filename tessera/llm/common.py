@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,8 +45,12 @@ def forget(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of plans that nobody holds any more."""
-    spark._jvm.System.gc()
+    """Let the context cleaner remove shuffle files of plans that nobody holds any more: Python's cycles first, then the
+    JVM's references, which the second round finds cleared."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def n_partitions(spark: SparkSession) -> int:
