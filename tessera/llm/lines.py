@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 #: Lines of the shortest run that counts as repeated, and of a winnowing window.
 WINDOW = 2
 
@@ -30,7 +32,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     picked = hashes.withColumn("at", F.array_distinct(F.transform(starts, place)))
     around = lambda p: F.struct(p.alias("p"), F.element_at("h", p + 1).alias("print"), F.greatest(F.lit(0), p - window + 1).alias("begin"), F.slice("h", F.greatest(F.lit(0), p - window + 1) + 1, F.least(p, F.lit(window - 1)) + window).alias("near"))
     prints = picked.select("doc_id", "row", F.explode(F.transform("at", around)).alias("f")).select("doc_id", "row", "f.*")
-    often = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # written tables: a join with the aggregate itself would be dealt as that is, and its hot keys could not be split
+    often = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
     prints = prints.join(often, "print")
     # each window around a fingerprint whose own smallest hash that is: its first line and what its lines are
     offsets = F.sequence(F.lit(0), F.size("near") - window)
@@ -38,12 +41,13 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def at(o):
         lines = F.slice("near", o + 1, window)
         back = F.reverse(lines)
-        return F.struct((F.col("begin") + o).alias("i"), F.xxhash64(lines, F.lit(1)).alias("k"), (F.col("begin") + o + window - F.array_position(back, F.array_min(back)).cast("int") == F.col("p")).alias("own"))
+        return F.struct((F.col("begin") + o).alias("i"), F.xxhash64("print", lines).alias("k"), (F.col("begin") + o + window - F.array_position(back, F.array_min(back)).cast("int") == F.col("p")).alias("own"))
 
-    runs = prints.select("doc_id", "row", "print", F.explode(F.filter(F.transform(offsets, at), lambda x: x["own"])).alias("w")).select("doc_id", "row", "print", "w.i", "w.k")
+    runs = prints.select("doc_id", "row", F.explode(F.filter(F.transform(offsets, at), lambda x: x["own"])).alias("w")).select("doc_id", "row", "w.i", "w.k")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("i").alias("i"))
-    first = runs.groupBy("print", "k").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "k", "first")
-    later = runs.join(first, ["print", "k"]).where(order > F.col("first"))
+    runs = cut(runs)
+    first = cut(runs.groupBy("k").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first"))
+    later = runs.join(first, "k").where(order > F.col("first"))
     gone = later.groupBy("doc_id", "row").agg(F.collect_set("i").alias("begins"))
     every = F.flatten(F.transform("begins", lambda i: F.sequence(i, i + window - 1)))
     return gone.select("doc_id", "row", F.array_sort(F.array_distinct(every)).alias("lines"))
