@@ -99,11 +99,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     upto = lambda j: F.floor(F.col("_begin") + j * F.col("_rate") + 0.5)
     copies = F.least(F.lit(MOST), upto(F.col("_j")) - upto(F.col("_j") - 1)).cast("int")
     rows = cut(rows.withColumn("copies", copies).drop("_rate", "_salts", "_j", "_begin"))
+    # what each source is off by goes to its cells, not to its rows: rows are never dealt by source
     off = rows.groupBy("_s").agg((F.max("_target") - F.sum(F.col("copies") * F.col("_size"))).alias("_off"))
-    rows = rows.join(off, "_s").withColumn("_free", (F.col("_size") > 0) & F.when(F.col("_off") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
-    cells = rows.groupBy(key).agg((F.sum(F.col("_free").cast("long")) * F.col("_size")).alias("_sum")).select(*key, begin)
-    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*key, "_free").orderBy("doc_id"))).join(cells, key)
-    flip = F.col("_free") & (F.col("_begin") + (F.col("_j") - 0.5) * F.col("_size") <= F.abs("_off"))
+    can_more, can_less = (F.col("_size") > 0) & (F.col("copies") < MOST), (F.col("_size") > 0) & (F.col("copies") > 0)
+    words = lambda can: F.sum(can.cast("long")) * F.col("_size")
+    cells = rows.groupBy(key).agg(words(can_more).alias("_more"), words(can_less).alias("_less")).join(off, "_s")
+    cells = cells.withColumn("_sum", F.when(F.col("_off") > 0, F.col("_more")).otherwise(F.col("_less"))).select(*key, "_off", begin)
+    number = lambda can: F.row_number().over(Window.partitionBy(*key, can).orderBy("doc_id"))
+    rows = rows.withColumns({"_m": number(can_more), "_l": number(can_less)}).join(cells, key)
+    free, j = F.when(F.col("_off") > 0, can_more).otherwise(can_less), F.when(F.col("_off") > 0, F.col("_m")).otherwise(F.col("_l"))
+    flip = free & (F.col("_begin") + (j - 0.5) * F.col("_size") <= F.abs("_off"))
     copies = F.col("copies") + F.when(flip, F.signum("_off").cast("int")).otherwise(0)
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), *keep, F.col("_total").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
