@@ -43,11 +43,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the token ids of each document, with the digests of ids and of the text that they decode to."""
+    """doc_id, lang, source, n_tokens and the token ids of each document, with the digests of ids and of the text that they decode to."""
     import public_tokenizers
 
     codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), codec, digest=True).drop("text")
+    return bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), codec, digest=True, ids=True).drop("text")
 
 
 STAGES = [

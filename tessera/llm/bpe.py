@@ -168,36 +168,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def bpe_encode(docs: DataFrame, codec: Codec, text: str = "text", digest: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, codec: Codec, text: str = "text", digest: bool = False, ids: bool = False) -> DataFrame:
     """docs and, of each row's whole text, n_tokens long, and either ids array<int>, decoded string or, with digest,
     ids_sha256 and decoded_sha256 string (lowercase hex of the ids as decimals joined by one space, and of the bytes
-    that decoding those ids gives).
+    that decoding those ids gives); with digest and ids, ids array<int> before the digests.
 
     A null text counts as empty (no tokens, the digests of nothing). Repeated rows give repeated rows, an empty table an
     empty one; columns of docs of the same names are replaced. Rows go through Python in Arrow batches with no shuffle.
     The codec goes to the executors as one broadcast: its size is that of the vocabulary, whatever the input.
     """
     sent = docs.sparkSession.sparkContext.broadcast(codec)
-    made = ("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("n_tokens", "ids", "decoded")
+    types = {"n_tokens": "long", **({"ids": "array<int>"} if ids or not digest else {}), **({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"decoded": "string"})}
+    made, arrow = list(types), {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     kept = docs.drop(*(x for x in made if x != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "n_tokens long", *(("ids_sha256 string", "decoded_sha256 string") if digest else ("ids array<int>", "decoded string"))])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{x} {t}" for x, t in types.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = sent.value
         for batch in batches:
-            counts, first, second = [], [], []
+            out = {x: [] for x in made}
             for t in batch.column(batch.schema.get_field_index(text)):
                 joined = codec.encode_text(t.as_py() or "")
-                ids = list(map(int, joined.split(" "))) if joined else []
-                counts.append(len(ids))
-                raw = codec.decode(ids)
+                found = list(map(int, joined.split(" "))) if joined else []
+                raw = codec.decode(found)
+                out["n_tokens"].append(len(found))
+                if "ids" in out:
+                    out["ids"].append(np.array(found, dtype=np.int32))
                 if digest:
-                    first.append(hashlib.sha256(joined.encode()).hexdigest())
-                    second.append(hashlib.sha256(raw).hexdigest())
+                    out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
                 else:
-                    first.append(ids)
-                    second.append(raw.decode("utf-8", "replace"))
-            new = [pa.array(counts, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())]
+                    out["decoded"].append(raw.decode("utf-8", "replace"))
+            new = [pa.array(out[x], arrow[t]) for x, t in types.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
 
     return kept.mapInArrow(run, schema)

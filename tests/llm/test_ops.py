@@ -475,3 +475,14 @@ def test_pipeline_stages(spark, docs, codec):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(at.columns) and at.count() > 0
     for r in at.collect():
         assert len(r["ids_sha256"]) == 64
+
+
+def test_pipeline_encodes(spark, docs, codec):
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    got = corpus_pipeline.encode(spark, docs, SF)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    want = []
+    for i, t, lang, source, _ in corpus():
+        ids = plain.encode_ordinary(t or "")
+        want.append((i, lang, source, len(ids), ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    same(got.collect(), want)
