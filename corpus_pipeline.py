@@ -25,6 +25,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where("n_removed < n_lines OR n_removed = 0").select(docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with __row and __more: two hashes of all columns, by which rows are known that are equal in each of them only. No text is
+    written for it, and no id is needed."""
+    return docs.withColumns({"__row": F.xxhash64(*docs.columns), "__more": F.xxhash64(F.lit("more"), *docs.columns)})
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest doc_id (rows that repeat it stay with it)."""
     prints = cut(simhash.with_simhash(docs.select("doc_id", "text"), into="x").select("doc_id", "x"))
@@ -33,12 +39,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies of it; rows equal in doc_id, source and text are one document."""
-    row = F.xxhash64("source", "text")
-    thin = cut(docs.select("doc_id", "source", row.alias("row"), mixing.n_words(F.col("text")).alias("size")))
-    copies = mixing.mix(thin, keep=("row",)).groupBy("doc_id", "row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = cut(copies.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("of"), F.greatest(F.lit(1), F.round(F.col("copies") / F.col("rows"))).cast("int").alias("copies")))
-    taken = docs.withColumn("__row", row).join(copies, (F.col("__row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    """As many rows of each document as the mix takes copies of it: wholly equal rows get the copies of all of them together."""
+    rows = _rows(docs)
+    thin = cut(rows.select("doc_id", "source", "__row", "__more", mixing.n_words(F.col("text")).alias("size")))
+    copies = mixing.mix(thin, keep=("__row", "__more")).where("copies > 0").groupBy("__row", "__more").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = rows.dropDuplicates(["__row", "__more"]).join(cut(copies), ["__row", "__more"])
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 

@@ -486,3 +486,15 @@ def test_pipeline_encodes(spark, docs, codec):
         ids = plain.encode_ordinary(t or "")
         want.append((i, lang, source, len(ids), ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     same(got.collect(), want)
+
+
+def test_pipeline_mixes_rows(spark):
+    rows = [(i, prose(i, 20 + i % 30), "a", f"s{i % 3}", 1) for i in range(40)]
+    rows += [row for row in rows[:20] for _ in range(3)] + [(None, prose(90, 25), "b", "s0", 2)] * 5
+    before = spark.createDataFrame(rows, SCHEMA)
+    after = corpus_pipeline.mix_sources(spark, before, SF).collect()
+    words = [len(t.split()) for _, t, *_ in rows]
+    sizes = [sum(n for n, row in zip(words, rows, strict=True) if row[3] == f"s{k}") for k in range(3)]
+    for k, want in water(sizes, [3, 1, 2]).items():
+        assert abs(sum(len(r["text"].split()) for r in after if r["source"] == f"s{k}") - want) <= 50, k
+    assert {tuple(r) for r in after} <= set(rows)
