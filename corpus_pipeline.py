@@ -32,10 +32,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id (rows that repeat it stay with it)."""
-    prints = cut(simhash.with_simhash(docs.select("doc_id", "text"), into="x").select("doc_id", "x"))
-    kept = prints.join(simhash.near_groups(prints), "x").where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi")
+    """One row of each near-duplicate group: that with the smallest doc_id, nulls last, and of several the first by the hashes of
+    text and row. Null and repeated ids are rows like any other; of wholly equal rows one stays."""
+    rows = _rows(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("of"), "__row", "__more")
+    prints = cut(simhash.with_simhash(rows.select(order.alias("doc_id"), "text"), into="x").select("doc_id", "x"))
+    kept = simhash.near_groups(prints).select("component_id.__row", "component_id.__more").distinct()
+    return rows.dropDuplicates(["__row", "__more"]).join(kept, ["__row", "__more"], "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -498,3 +498,22 @@ def test_pipeline_mixes_rows(spark):
     for k, want in water(sizes, [3, 1, 2]).items():
         assert abs(sum(len(r["text"].split()) for r in after if r["source"] == f"s{k}") - want) <= 50, k
     assert {tuple(r) for r in after} <= set(rows)
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    texts = [prose(i, 80) for i in range(6)]
+    rows = [(3, texts[0], "a"), (1, texts[0], "a"), (None, texts[0], "a")]  # null id in a group with ids
+    rows += [(None, texts[1], "a"), (None, texts[1], "b"), (None, texts[2], "a")]  # copies without ids, one alone
+    rows += [(1, texts[3], "a"), (0, texts[3], "a")]  # an id that stays elsewhere
+    rows += [(7, texts[4], "a")] * 3 + [(8, texts[4] + " x", "a")]  # repeated rows
+    rows += [(9, texts[5], "a"), (9, texts[4], "c")]  # one id in two groups
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], SCHEMA)
+    prints = [plain_simhash(t) for _, t, _ in rows]
+    i, j = zip(*((a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and (prints[a] ^ prints[b]).bit_count() <= 3), strict=True)
+    root = roots(len(rows), np.array(i), np.array(j)).tolist()
+    groups = {k: [row for row, of in zip(rows, root, strict=True) if of == k] for k in root}
+    got = [(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(got) == len(groups)
+    for members in groups.values():
+        kept = [row for row in got if row in members]
+        assert len(kept) == 1 and kept[0][0] == min((m[0] for m in members if m[0] is not None), default=None), members
