@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import langid
+from tessera.llm import langid, licenses
 
 
 def speech(r: random.Random, letters: str, n: int, words: int = 500) -> tuple[str, list[str]]:
@@ -73,3 +73,42 @@ def test_many_languages_stay_small():
     size = sum(map(len, texts.values()))
     assert len(pickle.dumps(model)) < 60 * size and 60 * 200 * 24_576 < 300_000_000
     assert pickle.loads(pickle.dumps(model)).predict([texts["l77"][100:400], None]) == (["l77", "und"], model.predict([texts["l77"][100:400], None])[1])
+
+
+# ---- 8
+
+
+def contained(scanner: licenses.Scanner, text: str) -> set[str]:
+    w = licenses.words(text)
+    have = set(zip(*(w[i:] for i in range(5)), strict=False))
+    return {n for n, s in zip(scanner.names, scanner.sets, strict=True) if len(s & have) >= 0.8 * len(s)}
+
+
+def test_bands_retrieve_altered_notices(monkeypatch):
+    scanner, r = licenses.Scanner(), random.Random(3)
+    filler = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for name in sorted(licenses.TEMPLATES) * 6:
+        w = licenses.TEMPLATES[name].split()
+        for _ in range(r.randint(0, 3) if len(w) > 40 else 0):  # changed words
+            w[r.randrange(len(w))] = "other"
+        if len(w) > 40 and r.random() < 0.5:  # words put in
+            w.insert(r.randrange(len(w)), filler(r.randint(1, 300)))
+        if r.random() < 0.3:  # words taken out
+            del w[r.randrange(len(w))]
+        texts.append(f"{filler(r.randint(0, 90))} {' '.join(w)} {filler(r.randint(0, 90))}")
+    texts += ["", filler(3), filler(5000)]
+    found = [{m[0] for m in x} for x in scanner.scan_all(texts)]
+    assert found == [contained(scanner, t) for t in texts] and sum(map(len, found)) > 100
+    assert found == [{m[0] for m in scanner.scan(t)} for t in texts]
+    monkeypatch.setattr(licenses.Scanner, "retrieve", lambda self, hashes, owner: set())  # no other way leads to a template
+    assert not any(scanner.scan_all(texts))
+
+
+def test_notices_one_after_another(tmp_path):
+    (tmp_path / "OWN.txt").write_text("You may read this text as often as you like, but you may not read it aloud at night.")
+    (tmp_path / "notes.md").write_text("no template")
+    scanner = licenses.Scanner(licenses.read_templates(str(tmp_path)), rows=2)
+    text = (tmp_path / "OWN.txt").read_text()
+    assert [(m[0], m[1], m[2], m[3]) for m in scanner.scan(f"{text} {text} then {text}")] == [("OWN", 1.0, 0, 19), ("OWN", 1.0, 19, 38), ("OWN", 1.0, 39, 58)]
+    assert licenses.Scanner({}).scan(text) == []
