@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -19,38 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Applications whose tables are to be deleted when Python ends.
+_MINE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where none is set (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary folder;
+    a cluster is refused, as its executors don't see the driver's."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages don't depend on the executors that made it."""
+    """Write df as a table in the shared folder and read it back: later stages don't depend on the executors that made it.
+
+    Tables lie in a folder of the application, which is deleted when the driver's Python ends; forget() deletes one sooner.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
+    mine = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if mine not in _MINE:
+        _MINE.add(mine)
+        atexit.register(_delete, spark, mine)
+    path = f"{mine}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing will read it again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before: its folder is left to whoever owns the shared one
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of plans that nobody holds any more: Python's cycles first, then the
-    JVM's references, which the second round finds cleared."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing will read them again."""
+    for df in tables:
+        for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, name)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -71,27 +81,27 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b), both long and not null; root is the smallest node that it reaches.
 
-    Large-star and small-star rounds, each a partially aggregated minimum and a join on the node; a hub's rows are a
-    skewed join that Spark splits. Every round is written to the shared folder, so that a lost executor costs one
-    round; what comes to the driver is a count and a checksum.
+    Large-star and small-star rounds, each a partially aggregated minimum and a join on the node. The minima are written
+    tables of their own, so that the join isn't dealt as they are and Spark can split a hub's rows. Every round is
+    written to the shared folder: a lost executor costs one round. Rounds end when the edges stay the same, which takes about as
+    many as the logarithm of the largest component; what comes to the driver is a count and a checksum.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")))
+        large = cut(both.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of"))
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, F.col("a") == F.col("of")).select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct()
         old, now = now, cut(small)
-        forget(old)
+        forget(old, least, large, low)
         is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if is_now == was:
             break
         was = is_now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

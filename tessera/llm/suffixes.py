@@ -1,9 +1,9 @@
 """Suffix-array dedup: bytes that an earlier document has too, found by two-stage suffix sorting of what may repeat.
 
 A string of LENGTH bytes has an anchor: the leftmost of its k-byte pieces with the smallest hash. Neighbouring strings
-with the same anchor make a segment, so equal strings lie in segments with equal anchors. Segments are dealt by their
-anchor; equal ones are merged (the smallest document keeps it, in the others it is a repeat), and
-the different segments of an anchor that several documents have are sorted together, as one suffix array.
+with the same anchor make a segment, so equal strings lie in segments with equal anchors. Anchors only say which strings may be
+equal; whether they are is settled by suffix arrays and their common prefixes alone: one for all that a batch of documents may have twice,
+and then, of the strings that are a batch's first, one for all segments of an anchor that several batches have.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_shuffles, n_partitions
+from tessera.llm.common import cut, n_partitions
 from tessera.llm.ordermin import _BASE, _UNBASE, _powers, mixed
 
 _U = np.uint64
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text that are hashed at once, and bytes of segments that make one suffix array, about.
 STRETCH, SORTED = 1 << 22, 1 << 21
-#: Different segments of one anchor beyond which each of their strings is dealt by its own hash instead.
+#: Segments of one anchor, a batch's first ones, beyond which each of their strings is dealt by its own hash instead of the anchor.
 HOT = 4096
 _PLACE = 23
 _POWERS: list[np.ndarray] = []
@@ -117,7 +117,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments of all texts: doc (place in texts), start, n (strings), anchor and whole (48-bit hashes)."""
+    """Segments of all texts: doc (place in texts), start, n (strings) and anchor (a 48-bit hash)."""
     up, down = _two_powers()
     parts: list[dict[str, np.ndarray]] = []
     pieces: list[tuple[int, int, bytes]] = []
@@ -147,10 +147,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
         first = np.flatnonzero(new)
         s = at[first]
         count = np.diff(np.append(first, len(at)))
-        e = s + count + LENGTH - 1
-        whole = mixed((total[e] - total[s]) * down[s] + count.astype(_U))
         doc, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-        parts.append({"doc": doc[of[s]], "start": (s - begin[of[s]] + offset[of[s]]).astype(np.int64), "n": count.astype(np.int64), "anchor": h[anchor[first]] >> _U(16), "whole": whole >> _U(16)})
+        parts.append({"doc": doc[of[s]], "start": (s - begin[of[s]] + offset[of[s]]).astype(np.int64), "n": count.astype(np.int64), "anchor": h[anchor[first]] >> _U(16)})
         pieces.clear()
         size = 0
 
@@ -162,7 +160,7 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
             pieces.append((i, a, p))
             size += len(p)
     flush()
-    names = ("doc", "start", "n", "anchor", "whole")
+    names = ("doc", "start", "n", "anchor")
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
 
 
@@ -232,6 +230,47 @@ def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _late(ids: np.ndarray, texts: list[bytes], s: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Strings that a smaller document of the batch has too, as doc, start and n of runs; s is left with the others."""
+    order = np.argsort(s["anchor"], kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(s["anchor"][order]) != 0]))
+    owner = ids[s["doc"][order]]
+    several = np.empty(len(order), bool)
+    several[order] = np.repeat(np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), np.diff(np.append(first, len(order))))
+    at = np.flatnonzero(several)
+    at = at[np.lexsort((s["start"][at], s["doc"][at]))]
+    doc, start, n, anchor = (s[k][at] for k in ("doc", "start", "n", "anchor"))
+    run_doc, run_start, run_n = _merged(doc, start, n)
+    if int((run_n + LENGTH - 1).sum()) > 4 * SORTED and len(ids) > 1:  # two arrays of half the documents; what both have is settled by anchor
+        half = len(ids) // 2
+        parts = []
+        for low, high in ((0, half), (half, len(ids))):
+            inside = (s["doc"] >= low) & (s["doc"] < high)
+            part = {k: v[inside] for k, v in s.items()}
+            part["doc"] = part["doc"] - low
+            found = _late(ids[low:high], texts[low:high], part) if inside.any() else (np.zeros(0, np.int64),) * 3
+            part["doc"] = part["doc"] + low
+            parts.append((part, (found[0] + low, found[1], found[2])))
+        for k in s:
+            s[k] = np.concatenate([p[0][k] for p in parts])
+        return tuple(np.concatenate([p[1][i] for p in parts]) for i in range(3))
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    text = np.frombuffer(b"".join(texts[d][a : a + c + LENGTH - 1] for d, a, c in zip(run_doc.tolist(), run_start.tolist(), run_n.tolist(), strict=True)), np.uint8)
+    length = run_n + LENGTH - 1
+    late = earlier(text, _strings(np.cumsum(length) - length, run_n), np.repeat(ids[run_doc], run_n))
+    # back to segments: what is left of each, in runs
+    of, place = np.repeat(np.arange(len(at)), n), _strings(start, n)
+    stay = np.flatnonzero(~late)
+    new = np.concatenate([[True], (np.diff(of[stay]) != 0) | (np.diff(place[stay]) != 1)]) if len(stay) else np.zeros(0, bool)
+    head = stay[new]
+    left = {"doc": doc[of[head]], "start": place[head], "n": np.diff(np.append(np.flatnonzero(new), len(stay))), "anchor": anchor[of[head]]}
+    for k in s:
+        s[k] = np.concatenate([s[k][~several], left[k]])
+    gone = np.flatnonzero(late)
+    return _merged(doc[of[gone]], place[gone], np.ones(len(gone), np.int64))
+
+
 def _find(n: int):
     """Documents to segments by anchor; repeats within a batch are settled at once."""
 
@@ -243,19 +282,13 @@ def _find(n: int):
             s = segments(texts)
             if not len(s["doc"]):
                 continue
-            owner = ids[s["doc"]]
-            order = np.lexsort((owner, s["whole"], s["anchor"]))
-            s, owner = {k: v[order] for k, v in s.items()}, owner[order]
-            first = np.flatnonzero(np.concatenate([[True], (s["anchor"][1:] != s["anchor"][:-1]) | (s["whole"][1:] != s["whole"][:-1])]))
-            late = owner > np.repeat(owner[first], np.diff(np.append(first, len(owner))))
-            doc, start, count = _merged(s["doc"][late], s["start"][late], s["n"][late])
+            doc, start, count = _late(ids, texts, s)
             out = _by_document(REPEATS, n, ids[doc], marks[doc], start, count)
-            s = {k: v[~late] for k, v in s.items()}
-            for b, (doc, start, count, anchor, whole) in _split((s["anchor"] % _U(n)).astype(np.int64), s["doc"], s["start"], s["n"], s["anchor"], s["whole"]):
+            for b, (doc, start, count, anchor) in _split((s["anchor"] % _U(n)).astype(np.int64), s["doc"], s["start"], s["n"], s["anchor"]):
                 order = np.lexsort((start, doc))
                 doc = doc[order]
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
-                data = (ids[doc[first]], marks[doc[first]].astype(np.uint32), np.diff(np.append(first, len(doc))).astype(np.uint32), start[order].astype(np.uint32), count[order].astype(np.uint8), _short(anchor[order]), _short(whole[order]))
+                data = (ids[doc[first]], marks[doc[first]].astype(np.uint32), np.diff(np.append(first, len(doc))).astype(np.uint32), start[order].astype(np.uint32), count[order].astype(np.uint8), _short(anchor[order]))
                 out.append((b, SEGMENTS, pickle.dumps(data, 5)))
             if out:
                 yield _rows(out)
@@ -264,30 +297,24 @@ def _find(n: int):
 
 
 def _compare(n: int):
-    """Segments of a bucket of anchors to repeats, and to the segments that must be sorted."""
+    """Segments of a bucket of anchors to those that must be sorted: whose anchor several documents have."""
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         runs = [x[2].astype(np.int64) for x in held]
+        anchor = np.concatenate([_long(x[5]) for x in held])
         ids = np.concatenate([np.repeat(x[0], r) for x, r in zip(held, runs, strict=True)])
-        marks = np.concatenate([np.repeat(x[1].astype(np.int64), r) for x, r in zip(held, runs, strict=True)])
-        start, count = (np.concatenate([x[i].astype(np.int64) for x in held]) for i in (3, 4))
-        anchor, whole = (np.concatenate([_long(x[i]) for x in held]) for i in (5, 6))
-        held.clear()
-        order = np.lexsort((ids, whole, anchor))
-        ids, marks, start, count, anchor, whole = (c[order] for c in (ids, marks, start, count, anchor, whole))
-        other = anchor[1:] != anchor[:-1]
-        first = np.flatnonzero(np.concatenate([[True], other | (whole[1:] != whole[:-1])]))
-        late = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-        out = _by_document(REPEATS, n, ids[late], marks[late], start[late], count[late])
-        begin = np.flatnonzero(np.concatenate([[True], other]))
+        order = np.argsort(anchor, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0]))
         sizes = np.diff(np.append(begin, len(ids)))
-        kinds = np.bincount(np.searchsorted(begin, first, side="right") - 1, minlength=len(begin))
-        several = (kinds > 1) & (np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin))
-        want = np.repeat(several, sizes) & ~late
-        hot = np.repeat(kinds > HOT, sizes)
-        out += _by_document(WANTED, n, ids[want], marks[want], start[want], count[want], anchor[want], hot[want])
+        several = np.minimum.reduceat(ids[order], begin) < np.maximum.reduceat(ids[order], begin)
+        want = order[np.repeat(several, sizes)]
+        hot = np.repeat(sizes > HOT, sizes)[np.repeat(several, sizes)]
+        marks = np.concatenate([np.repeat(x[1].astype(np.int64), r) for x, r in zip(held, runs, strict=True)])[want]
+        start, count = (np.concatenate([x[i] for x in held])[want].astype(np.int64) for i in (3, 4))
+        held.clear()
+        out = _by_document(WANTED, n, ids[want], marks, start, count, anchor[want], hot)
         if out:
             yield _rows(out)
 
@@ -464,10 +491,10 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nothing and take nothing from others; rows with the same doc_id take nothing from each other, so repeated rows get the
     same result. Texts of any length are hashed in stretches; other columns are left out.
 
-    Three passes over the text, two of which shuffle it: segments by anchor (hashes alone move; the copies in a batch are
-    settled before), the texts of the segments that are to be sorted, and the removal. Buckets grow in number with the bytes of text.
-    A third of all documents with one passage share its anchors, which in each batch is one segment; an
-    anchor with more than HOT different segments is dealt string by string.
+    Three passes over the text, two of which shuffle it: segments by anchor (hashes alone move; what a batch of documents has twice is
+    settled before, in one suffix array), the texts of the segments whose anchor several batches have, and the removal. Buckets grow
+    in number with the bytes of text. A third of all documents with one passage share its anchors, which in each batch is one
+    segment; an anchor with more than HOT of them is dealt string by string, by the strings' own hashes. The result is the same on each way.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -476,12 +503,10 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     found = able.mapInArrow(_find(n), ROWS).repartitionById(n, "bucket").mapInArrow(_compare(n), ROWS)
     found = cut(found)
-    free_shuffles(spark)
     place = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("int")
     as_rows = lambda df: df.select(place.alias("bucket"), F.lit(DOCUMENT).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("data"))
     meet = lambda df, data: as_rows(df).unionByName(data).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
     sorted_out = cut(meet(able, found.where(F.col("kind") == WANTED)).mapInArrow(_fetch(n), ROWS).repartitionById(n, "bucket").mapInArrow(_sort(n), ROWS))
-    free_shuffles(spark)
     return meet(rows, found.where(F.col("kind") == REPEATS).unionByName(sorted_out)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 

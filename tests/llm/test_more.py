@@ -4,9 +4,12 @@ import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tessera.llm import langid, licenses
+from tessera.llm import langid, licenses, suffixes
+from tests.llm.test_ops import prose, repeated, same
 
 
 def speech(r: random.Random, letters: str, n: int, words: int = 500) -> tuple[str, list[str]]:
@@ -112,3 +115,81 @@ def test_notices_one_after_another(tmp_path):
     text = (tmp_path / "OWN.txt").read_text()
     assert [(m[0], m[1], m[2], m[3]) for m in scanner.scan(f"{text} {text} then {text}")] == [("OWN", 1.0, 0, 19), ("OWN", 1.0, 19, 38), ("OWN", 1.0, 39, 58)]
     assert licenses.Scanner({}).scan(text) == []
+
+
+# ---- 1
+
+
+def removed_by(rows: list[tuple[int, str]], batches: int = 1, n: int = 1) -> list[tuple]:
+    """The operator's steps over Arrow batches in this process, with all buckets in one."""
+    able = [r for r in rows if r[0] is not None and len((r[1] or "").encode()) >= suffixes.LENGTH]
+    parts = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in able[k::batches]]) for k in range(batches) if able[k::batches]]
+
+    def merged(*tables):
+        whole = pa.concat_tables([t for t in tables if t.num_rows] or [tables[0]])
+        return whole.sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=7)
+
+    def table(found):
+        return pa.Table.from_batches(list(found), schema=suffixes._SCHEMA)
+
+    def kind(t, k):
+        return t.filter(pc.equal(t["kind"], k))
+
+    def documents(some):
+        return pa.Table.from_pylist([{"bucket": (i or 0) % n, "kind": suffixes.DOCUMENT, "doc_id": i, "text": t, "data": None} for i, t in some], schema=suffixes._SCHEMA)
+
+    found = table(suffixes._compare(n)(iter(merged(table(suffixes._find(n)(iter(parts)))))))
+    fetched = table(suffixes._fetch(n)(iter(merged(documents(able), kind(found, suffixes.WANTED)))))
+    by_anchor = table(suffixes._sort(n)(iter(merged(fetched))))
+    out = suffixes._remove(iter(merged(documents(rows), kind(found, suffixes.REPEATS), by_anchor)))
+    return [tuple(r.values())[:5] for b in out for r in b.to_pylist()]
+
+
+def passages(seed: int, n: int) -> list[tuple[int, str]]:
+    r = random.Random(seed)
+    pool = [prose(seed + k, 30) for k in range(6)]
+    rows = []
+    for i in range(n):
+        t = " ".join(r.choice(pool)[r.randint(0, 60) :] if r.random() < 0.5 else prose(1000 * seed + i, r.randint(1, 40)) for _ in range(r.randint(0, 5)))
+        rows.append((r.choice([i, i, i, 7, None]), t))
+    return rows
+
+
+@pytest.mark.parametrize("batches", [1, 3, 40])
+def test_repeats_within_and_across_batches(batches):
+    rows = [(1, "ab" * 400), (0, "ba" * 90), *passages(batches, 40), (3, "a" * 500), (2, "a" * 60)]
+    same(removed_by(rows, batches, 3), repeated(rows))
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_colliding_anchors_change_nothing(batches, monkeypatch):
+    whole = suffixes.mixed
+    monkeypatch.setattr(suffixes, "mixed", lambda x: whole(x) & np.uint64(3 << 60))  # four anchors for everything
+    rows = passages(9, 30)
+    same(removed_by(rows, batches), repeated(rows))
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    same(removed_by(rows, batches), repeated(rows))
+    monkeypatch.setattr(suffixes, "SORTED", 200)  # many suffix arrays
+    same(removed_by(rows, batches), repeated(rows))
+
+
+@pytest.mark.parametrize("batches", [1, 6])
+def test_only_suffix_arrays_tell_repeats(batches, monkeypatch):
+    seen = [0, 0]
+
+    def counted(text, at, doc, whole=suffixes.earlier):
+        late = whole(text, at, doc)
+        seen[0] += int(late.sum())
+        return late
+
+    monkeypatch.setattr(suffixes, "earlier", counted)
+    rows = [(i, t) for i, (_, t) in enumerate(passages(4, 40))]
+    first, repeats = {}, 0
+    for i, t in rows:
+        b = t.encode()
+        for j in range(len(b) - 49):
+            repeats += first.setdefault(b[j : j + 50], i) < i
+    removed_by(rows, batches)
+    assert seen[0] == repeats > 0
+    monkeypatch.setattr(suffixes, "earlier", lambda text, at, doc: np.zeros(len(at), bool))
+    assert all(r[2] == 0 for r in removed_by(rows, batches))
