@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -11,17 +11,20 @@ from tessera.llm.common import cut
 WINDOW = 2
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, row, text), row a hash of the text, to (doc_id, row, lines): the places, counted from 0 and sorted, of lines that repeat
-    an earlier run. Only documents with such lines are returned.
+def repeated_runs(docs: DataFrame, window: int = WINDOW, line_hash=F.xxhash64) -> DataFrame:
+    """docs(doc_id, row, text), row a hash of the text, to (doc_id, row, begin, end, first_id, first_row, first_begin): each maximal run of
+    lines (places counted from 0, end exclusive) that also stands at an earlier place, and that place.
 
     Winnowing: of each `window` neighbouring line hashes the smallest is a fingerprint, the rightmost if several are, so
     equal runs of `window` lines have an equal fingerprint at the same place. Fingerprints that occur once are
-    dropped before anything is joined; around the others the match is extended both ways, by every window that
-    holds the fingerprint. An extension is known by its lines' hashes, so that all its occurrences meet in one partially
-    aggregated minimum instead of in pairs; whatever isn't the first place is a later repeat.
+    dropped before anything is joined. The others bring the windows that they stand for, known by a SHA-256 of
+    the lines themselves: line hashes only choose and drop fingerprints, and what collides there changes nothing. The first place
+    of each such window is a partially aggregated minimum; later places are joined with it, position with position,
+    and a match goes on both ways as long as its neighbours match the same document's neighbours: maximal runs on one
+    diagonal. No two later places are ever paired with each other.
     """
-    hashes = docs.select("doc_id", "row", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= window)
+    split = docs.select("doc_id", "row", F.split("text", "\n").alias("lines"))
+    hashes = split.where(F.size("lines") >= window).withColumn("h", F.transform("lines", lambda x: line_hash(x)))
     starts = F.sequence(F.lit(0), F.size("h") - window)
 
     def place(i):
@@ -29,34 +32,38 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         back = F.reverse(F.slice("h", i + 1, window))
         return i + window - F.array_position(back, F.array_min(back)).cast("int")
 
-    picked = hashes.withColumn("at", F.array_distinct(F.transform(starts, place)))
-    around = lambda p: F.struct(p.alias("p"), F.element_at("h", p + 1).alias("print"), F.greatest(F.lit(0), p - window + 1).alias("begin"), F.slice("h", F.greatest(F.lit(0), p - window + 1) + 1, F.least(p, F.lit(window - 1)) + window).alias("near"))
-    prints = picked.select("doc_id", "row", F.explode(F.transform("at", around)).alias("f")).select("doc_id", "row", "f.*")
+    text = lambda i: F.sha2(F.array_join(F.slice("lines", i + 1, window), "\n"), 256)
+    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.element_at("h", place(i) + 1).alias("print"), F.unhex(text(i)).alias("k")))
+    # windows of one fingerprint place together: one row for each place
+    prints = hashes.select("doc_id", "row", F.explode(windows).alias("w")).select("doc_id", "row", "w.*")
     # written tables: a join with the aggregate itself would be dealt as that is, and its hot keys could not be split
-    often = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
-    prints = prints.join(often, "print")
-    # each window around a fingerprint whose own smallest hash that is: its first line and what its lines are
-    offsets = F.sequence(F.lit(0), F.size("near") - window)
-
-    def at(o):
-        lines = F.slice("near", o + 1, window)
-        back = F.reverse(lines)
-        return F.struct((F.col("begin") + o).alias("i"), F.xxhash64("print", lines).alias("k"), (F.col("begin") + o + window - F.array_position(back, F.array_min(back)).cast("int") == F.col("p")).alias("own"))
-
-    runs = prints.select("doc_id", "row", F.explode(F.filter(F.transform(offsets, at), lambda x: x["own"])).alias("w")).select("doc_id", "row", "w.i", "w.k")
+    picked = hashes.select(F.explode(F.transform(F.array_distinct(F.transform(starts, place)), lambda p: F.element_at("h", p + 1))).alias("print"))
+    often = cut(picked.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    runs = cut(prints.join(often, "print").select("doc_id", "row", "i", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("i").alias("i"))
-    runs = cut(runs)
     first = cut(runs.groupBy("k").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first"))
-    later = runs.join(first, "k").where(order > F.col("first"))
-    gone = later.groupBy("doc_id", "row").agg(F.collect_set("i").alias("begins"))
-    every = F.flatten(F.transform("begins", lambda i: F.sequence(i, i + window - 1)))
-    return gone.select("doc_id", "row", F.array_sort(F.array_distinct(every)).alias("lines"))
+    later = runs.join(first, "k").where(order > F.col("first")).select("doc_id", "row", "i", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.i").alias("first_i"))
+    diagonal = Window.partitionBy("doc_id", "row", "first_id", "first_row", F.col("i") - F.col("first_i")).orderBy("i")
+    new = F.when(F.col("i") - F.lag("i").over(diagonal) == 1, 0).otherwise(1)
+    islands = later.withColumn("new", new).withColumn("run", F.sum("new").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
+    of = islands.groupBy("doc_id", "row", "first_id", "first_row", (F.col("i") - F.col("first_i")).alias("shift"), "run")
+    out = of.agg(F.min("i").alias("begin"), (F.max("i") + window).alias("end"))
+    return out.select("doc_id", "row", "begin", "end", "first_id", "first_row", (F.col("begin") - F.col("shift")).alias("first_begin"))
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, line_hash=F.xxhash64) -> DataFrame:
+    """docs(doc_id, row, text) to (doc_id, row, lines): the places, counted from 0 and sorted, of lines in a run that was there before.
+    Only documents with such lines are returned."""
+    runs = repeated_runs(docs, window, line_hash).groupBy("doc_id", "row").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
+    every = F.flatten(F.transform("runs", lambda r: F.sequence(r["begin"], r["end"] - 1)))
+    return runs.select("doc_id", "row", F.array_sort(F.array_distinct(every)).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text less the lines of later repeated runs, and n_lines, n_removed long.
 
-    Lines are what line feeds separate, compared as they are. Every run of `window` lines or more that also stands at an
+    Lines are what line feeds separate, compared as they are (by SHA-256). A run has `window` lines at least: a line that
+    repeats between different neighbours stays, however long it is, and so does a text of one line. Every run of `window` lines or more that also stands at an
     earlier place (by doc_id, nulls last, then place; the same document counts) goes wherever it is not the first; runs may overlap, and
     are judged on the input. Rows equal in doc_id and text are one document here and keep the same lines; documents
     with a null doc_id and different texts go by a hash of the text. A null text stays null with no lines; an empty text

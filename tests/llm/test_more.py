@@ -8,7 +8,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from tessera.llm import langid, licenses, suffixes
+from pyspark.sql import functions as F
+
+from tessera.llm import langid, licenses, lines, suffixes
 from tests.llm.test_ops import prose, repeated, same
 
 
@@ -193,3 +195,40 @@ def test_only_suffix_arrays_tell_repeats(batches, monkeypatch):
     assert seen[0] == repeats > 0
     monkeypatch.setattr(suffixes, "earlier", lambda text, at, doc: np.zeros(len(at), bool))
     assert all(r[2] == 0 for r in removed_by(rows, batches))
+
+
+# ---- 3
+
+
+def lined(seed: int, n: int) -> list[tuple]:
+    r = random.Random(seed)
+    pool = [f"line {k}" for k in range(9)] + ["", "x" * 300, "é😀"]
+    rows = [(r.choice([i, i, i, 5, None]), "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(n)]
+    return [*rows, (3, None), rows[0], rows[0]]
+
+
+@pytest.mark.parametrize("line_hash", [F.xxhash64, lambda x: F.length(x) % 2, lambda x: F.lit(1)], ids=["hash", "parity", "constant"])
+def test_runs_are_told_by_their_lines(spark, line_hash):
+    rows = lined(2, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.xxhash64("text"))
+    whole = docs.where("text IS NOT NULL").distinct()
+    got = {(r["doc_id"], r["row"]): r["lines"] for r in lines.repeated_lines(whole, line_hash=line_hash).collect()}
+    texts = {(r["doc_id"], r["row"]): r["text"].split("\n") for r in whole.collect()}
+    order = sorted(texts, key=lambda k: (k[0] is None, k[0] or 0, k[1]))
+    first, gone = {}, {}
+    for k in order:
+        for j in range(len(texts[k]) - 1):
+            if first.setdefault(tuple(texts[k][j : j + 2]), (k, j)) != (k, j):
+                gone.setdefault(k, set()).update((j, j + 1))
+    assert got == {k: sorted(v) for k, v in gone.items()}
+    for r in lines.repeated_runs(whole, line_hash=line_hash).collect():
+        mine, theirs = texts[r["doc_id"], r["row"]], texts[r["first_id"], r["first_row"]]
+        n = r["end"] - r["begin"]
+        assert n >= 2 and mine[r["begin"] : r["end"]] == theirs[r["first_begin"] : r["first_begin"] + n]
+
+
+def test_a_run_is_one_match(spark):
+    body = [f"row {k}" for k in range(50)]
+    rows = [(1, "\n".join(["a", *body, "b"])), (2, "\n".join(["c", "d", *body, "e"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.xxhash64("text"))
+    assert [(r["doc_id"], r["begin"], r["end"], r["first_id"], r["first_begin"]) for r in lines.repeated_runs(docs).collect()] == [(2, 2, 52, 1, 1)]
