@@ -17,10 +17,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit in it.
-CANDIDATE = rf"(?<![^{BLANK}])[^0-9{BLANK}]*+[0-9][^{BLANK}]*+"
-#: Characters to either side in which a context word is looked for, and characters of an instance that are told apart.
-REACH, CORE = 48, 256
+#: What may be an identifier of one of the kinds in another form: a row of words made of digits and their signs, or else a word that holds a digit,
+#: or a sign between letters (as me(at)host or me[at]host; apostrophes and hyphens alone are no such signs). The kinds have no form without both.
+CANDIDATE = (
+    rf"(?<![^{BLANK}])(?:[0-9(+][0-9().+/-]*+(?:\x20[0-9(][0-9().+/-]*+)++(?![^{BLANK}.,;:!?])"
+    rf"|[^0-9{BLANK}]*+[0-9][^{BLANK}]*+"
+    rf"|[\p{{L}}][\p{{L}}'-]*+[^\p{{L}}0-9'{BLANK}-]++[\p{{L}}][^{BLANK}]*+)"
+)
+#: Words of context on each side.
+REACH = 2
 _CHUNK = 256
 
 
@@ -51,7 +56,7 @@ def _holds(kind: str, m: Column) -> Column:
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """Matches of pattern in order, as (s, e, m, l, r): start and end in code points, the match, and what is within REACH of it.
+    """Matches of pattern in order, as (s, e, m, l, r): start and end in code points, the match, and the words on both sides of it, whole.
 
     Starts are running sums over the pieces between matches; sums go by chunks, so that they cost little for
     thousands of matches too.
@@ -60,8 +65,8 @@ def _places(text: Column, pattern: str) -> Column:
     n = F.size(matches)
     one = F.zip_with(
         F.slice(pieces, 1, n),
-        F.zip_with(matches, F.slice(pieces, 2, n), lambda m, r: F.struct(m.alias("m"), F.left(r, F.lit(REACH)).alias("r"))),
-        lambda p, x: F.struct(F.char_length(p).alias("before"), F.char_length(x["m"]).alias("long"), x["m"].alias("m"), F.right(p, F.lit(REACH)).alias("l"), x["r"].alias("r")),
+        F.zip_with(matches, F.slice(pieces, 2, n), lambda m, r: F.struct(m.alias("m"), F.substring_index(r, " ", REACH + 1).alias("r"))),
+        lambda p, x: F.struct(F.char_length(p).alias("before"), F.char_length(x["m"]).alias("long"), x["m"].alias("m"), F.substring_index(p, " ", -REACH - 1).alias("l"), x["r"].alias("r")),
     )
     place = "struct<s:int,e:int,m:string,l:string,r:string>"
 
@@ -102,38 +107,56 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _words(side: str) -> Column:
+    """Words of the text on one side of an instance, lower-cased; the word that touches the instance is cut off."""
+    touching = rf"[^{BLANK}]*+$" if side == "l" else rf"^[^{BLANK}]*+"
+    return F.filter(F.split(F.lower(F.regexp_replace(side, touching, "")), rf"[{BLANK}]+"), lambda x: x != "")
+
+
+def _shape(m: Column) -> Column:
+    """Character classes of an instance: runs of letters as a, of digits as their number, signs as they are; no others at its ends."""
+    inner = F.regexp_replace(F.regexp_replace(m, r"^[^\p{L}\p{N}]++", ""), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    return F.regexp_replace(F.regexp_replace(inner, r"\p{L}++", "a"), "[0-9]", "9")
+
+
 def _contexts() -> Column:
-    """Lexical patterns of an instance: the word before it, the word after it, and both."""
-    left = F.lower(F.regexp_extract(F.substring_index(F.regexp_replace("l", f"[{BLANK}]++$", ""), " ", -1), rf"([^{BLANK}]*)$", 1))
-    right = F.lower(F.regexp_extract("r", rf"^[^{BLANK}]*+[{BLANK}]++([^{BLANK}]++)", 1))
-    both = F.when((left != "") & (right != ""), F.concat(F.lit("B "), left, F.lit(" "), right))
-    return F.array_compact(F.array(F.when(left != "", F.concat(F.lit("L "), left)), F.when(right != "", F.concat(F.lit("R "), right)), both))
+    """Lexical patterns of an instance: the word before it, the word after it, both, two words on one side, and the shape of
+    the instance with the word on either side. Long words make long patterns, which are known by their SHA-256."""
+    left, right, shape = F.reverse(_words("l")), _words("r"), _shape(F.col("m"))
+    l1, l2, r1, r2 = (F.try_element_at(side, F.lit(k)) for side in (left, right) for k in (1, 2))
+    named = {"L": [l1], "R": [r1], "B": [l1, r1], "LL": [l2, l1], "RR": [r1, r2], "LS": [l1, shape], "RS": [r1, shape]}
+    every = [F.concat(F.lit(k), *(x for w in words for x in (F.lit(" "), w))) for k, words in named.items()]
+    return F.transform(F.array_compact(F.array(*every)), lambda p: F.unhex(F.sha2(p, 256)))
 
 
-def discover(instances: DataFrame, rounds: int = 3, support: int = 3, sure: float = 0.9) -> DataFrame:
-    """instances(core, k, l, r), k the kind of a seed or null, to (core, k): instances without a kind that are of kind k.
+def discover(instances: DataFrame, support: int = 3, sure: float = 0.9) -> DataFrame:
+    """instances(core, k, m, l, r), k the kind of a seed or null, to (core, k): instances without a kind that are of kind k.
 
     The graph has an edge where an instance stands in a lexical pattern. Each round scores a pattern for a kind
     by the share of its distinct instances that are of that kind (by their scores), if at least `support` of them are; and an
-    instance that is no seed by how sure its patterns make it together, patterns of a share below one half left out.
-    Scores of `sure` or more are discoveries. All sums are partially aggregated; a frequent pattern is a
-    skewed join that Spark splits.
+    instance that is no seed by how sure its patterns make it together, patterns of a share below one half left out. Scores only rise; rounds
+    go on until none does by a thousandth. Scores of `sure` or more are discoveries. All sums are partially aggregated over
+    written tables, so that a frequent pattern is a skewed join that Spark can split.
     """
     edges = cut(instances.select("core", "k", F.explode(_contexts()).alias("p")).groupBy("p", "core").agg(F.min("k").alias("k")))
-    sizes = edges.groupBy("p").agg(F.count("*").alias("n"))
     seeds = cut(instances.where(F.col("k").isNotNull()).groupBy("core").agg(F.min("k").alias("k")))
-    scores = seeds.withColumn("score", F.lit(1.0))
-    old = None
-    for _ in range(rounds):
-        patterns = edges.select("p", "core").join(scores, "core").groupBy("p", "k").agg(F.sum("score").alias("of"))
-        patterns = patterns.where(F.col("of") >= support).join(sizes, "p").select("p", F.col("k").alias("kind"), (F.col("of") / F.col("n")).alias("share")).where("share >= 0.5")
-        new = edges.where(F.col("k").isNull()).join(patterns, "p").groupBy("core", F.col("kind").alias("k")).agg((1 - F.exp(F.sum(F.log1p(-0.99 * F.col("share"))))).alias("score"))
-        scores = cut(new.join(seeds.select("core"), "core", "left_anti").unionByName(seeds.withColumn("score", F.lit(1.0))))
-        if old is not None:
-            forget(old)
-        old = scores
+    sizes = cut(edges.groupBy("p").agg(F.count("*").alias("n")))
+    scores = cut(seeds.withColumn("score", F.lit(1.0)))
+    was = None
+    while True:
+        of = edges.select("p", "core").join(scores, "core").groupBy("p", "k").agg(F.sum("score").alias("of")).where(F.col("of") >= support - 1e-6)
+        patterns = cut(of.join(sizes, "p").select("p", F.col("k").alias("kind"), (F.col("of") / F.col("n")).alias("share")).where("share >= 0.5"))
+        new = edges.where(F.col("k").isNull()).join(patterns, "p").groupBy("core", F.col("kind").alias("k")).agg(F.round(1 - F.exp(F.sum(F.log1p(-0.99 * F.col("share")))), 3).alias("score"))
+        now = cut(new.join(seeds.select("core"), "core", "left_anti").unionByName(seeds.withColumn("score", F.lit(1.0))))
+        forget(scores, patterns)
+        scores = now
+        is_now = scores.agg(F.count("*"), F.sum(F.xxhash64("core", "k", "score").cast("decimal(38,0)"))).first()
+        if is_now == was:
+            break
+        was = is_now
+    forget(edges, sizes)
     best = scores.join(seeds.select("core"), "core", "left_anti").where(F.col("score") >= sure)
-    return best.groupBy("core").agg(F.min_by("k", F.struct(-F.col("score"), "k")).alias("k"))
+    return cut(best.groupBy("core").agg(F.min_by("k", F.struct(-F.col("score"), "k")).alias("k")))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,16 +164,18 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     those, as kind:start:end in order, comma-joined) and spans (those and the discovered ones, likewise). Places are code
     points of the whole text, ends exclusive.
 
-    Known forms are the leftmost matches of each kind that don't overlap, less those that fail the kind's test: seeds. Words with a digit
-    that touch no seed are candidates, and discover() finds those that stand in the seeds' contexts. A null
+    Known forms are the leftmost matches of each kind that don't overlap, less those that fail the kind's test: seeds. Words with a digit or a
+    sign between letters, and rows of words of digits (CANDIDATE), are candidates unless they overlap a seed, and discover() finds those that stand
+    in the seeds' contexts, REACH words to either side. A candidate of letters alone is none: no kind has such a form. A null
     text counts as empty. Rows equal in doc_id and text get equal results; other columns are left out. The
-    text is read once and never shuffled; what moves are identifiers and candidates with REACH characters about them.
+    text is read once and never shuffled; what moves are identifiers and candidates with the words about them, whole. Candidates are told apart by
+    a SHA-256 of what is between their outer signs, lower-cased; those of one text lie in one row.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("row"), *(_places(F.col("text"), PATTERNS[k]).alias(k) for k in KINDS), _places(F.col("text"), CANDIDATE).alias("candidates"))
     kept = [_kept(i, k) for i, k in enumerate(KINDS)]
     found = cut(rows.select("doc_id", "row", F.flatten(F.array(*kept)).alias("base"), "candidates"))
-    core = F.lower(F.substring(F.regexp_replace(F.regexp_replace("m", r"^[^\p{L}\p{N}]++", ""), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""), 1, CORE)).alias("core")
+    core = F.unhex(F.sha2(F.lower(F.regexp_replace(F.regexp_replace("m", r"^[^\p{L}\p{N}]++", ""), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")), 256)).alias("core")
     one = found.dropDuplicates(["doc_id", "row"])
     both = one.select("doc_id", "row", F.explode(F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r"))), F.transform("candidates", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("int").alias("k"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r"))))).alias("x")).select("doc_id", "row", "x.*")
     order = Window.partitionBy("doc_id", "row").orderBy("s", F.col("k").isNull())
@@ -158,7 +183,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     ended = F.max(F.when(seed, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     begins = F.min(F.when(seed, F.col("s"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     free = seed | (F.coalesce(ended <= F.col("s"), F.lit(True)) & F.coalesce(begins >= F.col("e"), F.lit(True)))
-    instances = cut(both.withColumn("free", free).where("free").select("doc_id", "row", "s", "e", "k", core, "l", "r"))
+    instances = cut(both.withColumn("free", free).where("free").select("doc_id", "row", "s", "e", "k", core, "m", "l", "r"))
     new = instances.where(F.col("k").isNull()).drop("k").join(discover(instances), "core")
     new = new.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "k", "e")).alias("new")).select(F.col("doc_id").alias("of"), F.col("row").alias("of_row"), "new")
     joined = found.join(new, (found.row == new.of_row) & found.doc_id.eqNullSafe(new.of), "left")

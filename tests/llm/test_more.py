@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, lines, suffixes
-from tests.llm.test_ops import prose, repeated, same
+from tessera.llm import langid, licenses, lines, pii, suffixes
+from tests.llm.test_ops import BASE, known, prose, repeated, same
 
 
 def speech(r: random.Random, letters: str, n: int, words: int = 500) -> tuple[str, list[str]]:
@@ -232,3 +233,88 @@ def test_a_run_is_one_match(spark):
     rows = [(1, "\n".join(["a", *body, "b"])), (2, "\n".join(["c", "d", *body, "e"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.xxhash64("text"))
     assert [(r["doc_id"], r["begin"], r["end"], r["first_id"], r["first_begin"]) for r in lines.repeated_runs(docs).collect()] == [(2, 2, 52, 1, 1)]
+
+
+# ---- 9
+
+
+def graph(rows: list[tuple[int, str]], support: int = 3, sure: float = 0.9) -> dict[int, list[tuple[int, str, int]]]:
+    """Discoveries of small texts without the library: places by Python's regular expressions, the graph in dictionaries."""
+    blank = r"\x20\t-\r"
+    found, nodes = {}, {}
+    for i, t in rows:
+        seeds = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in known(t).split(",") if x)]
+        words = [(m.start(), None, m.end()) for m in re.finditer(pii.CANDIDATE.replace(r"[\p{L}]", "[^\\W\\d_]").replace(r"[^\p{L}0-9'", r"[^a-z0-9'").replace(r"\p{L}", "a-z").replace(r"\x09-\x0D", r"\t-\r"), t)]
+        free = [w for w in words if not any(w[0] < e and s < w[2] for s, _, e in seeds)]
+        for s, kind, e in seeds + free:
+            m = t[s:e]
+            core = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", m, flags=re.I)
+            shape = re.sub("[0-9]", "9", re.sub("[a-zA-Z]+", "a", core))
+            left = [x for x in re.split(f"[{blank}]+", re.sub(f"[^{blank}]*$", "", t[:s]).lower()) if x][::-1]
+            right = [x for x in re.split(f"[{blank}]+", re.sub(f"^[^{blank}]*", "", t[e:]).lower()) if x]
+            patterns = set()
+            for side, a, b, other in (("L", left[:1], left[1:2], right), ("R", right[:1], right[1:2], left)):
+                patterns |= {(side, *a)} if a else set()
+                patterns |= {(side * 2, *a, *b)} if b else set()
+                patterns |= {(side + "S", *a, shape)} if a else set()
+                patterns |= {("B", left[0], right[0])} if a and other else set()
+            node = nodes.setdefault(core.lower(), [set(), set()])
+            node[0] |= patterns
+            node[1] |= {kind} - {None}
+            found.setdefault(i, []).append((s, kind, e, core.lower()))
+    score = {c: {min(ks, key=list(BASE).index): 1.0} for c, (_, ks) in nodes.items() if ks}
+    seeds = dict(score)
+    while True:
+        share = {}
+        for c, kinds in score.items():
+            for p in nodes[c][0]:
+                for k, x in kinds.items():
+                    share[p, k] = share.get((p, k), 0) + x
+        sizes = {}
+        for ps, _ in nodes.values():
+            for p in ps:
+                sizes[p] = sizes.get(p, 0) + 1
+        share = {pk: x / sizes[pk[0]] for pk, x in share.items() if x >= support - 1e-6 and x / sizes[pk[0]] >= 0.5}
+        new = dict(seeds)
+        for c, (ps, _) in nodes.items():
+            if c not in seeds:
+                kinds = {}
+                for (p, k), x in share.items():
+                    if p in ps:
+                        kinds[k] = kinds.get(k, 1.0) * (1 - 0.99 * x)
+                if kinds:
+                    new[c] = {k: round(1 - x, 3) for k, x in kinds.items()}
+        if new == score:
+            break
+        score = new
+    out = {}
+    for i, places in found.items():
+        for s, kind, e, core in places:
+            if kind is None and core not in seeds and core in score:
+                k = min(score[core], key=lambda k: (-score[core][k], list(BASE).index(k)))
+                if score[core][k] >= sure:
+                    out.setdefault(i, set()).add((s, list(BASE).index(k), e))
+    return {i: [(s, list(BASE)[k], e) for s, k, e in sorted(v)] for i, v in out.items()}
+
+
+def test_discovery_against_a_plain_graph(spark):
+    r = random.Random(8)
+    filler = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 4))) for _ in range(n))
+    forms = {
+        "mail": lambda i: f"user{i}@host{i}.org", "hidden": lambda i: f"{filler(1)}(at)host(dot)org", "phone": lambda i: f"+1 214 555 {7000 + i}",
+        "spaced": lambda i: f"214 555 {8000 + i}", "ip": lambda i: f"10.0.{i}.7", "far": lambda i: f"10-0-{i}-7", "year": lambda i: str(1900 + i), "odd": lambda i: f"either/or{i}",
+    }
+    around = {"mail": "write to me at {} or come by", "hidden": "write to me at {} or come by", "phone": "call us on {} any day", "spaced": "call us on {} any day", "ip": "seen from {}\nthen", "far": "seen\tfrom {} then", "year": "in the year {} we", "odd": "to be {} at last"}
+    rows = []
+    for k in range(90):
+        form = (*forms, "mail", "phone", "ip")[k % 11]
+        rows.append((k, f"{filler(r.randint(0, 5))} {around[form].format(forms[form](k))} {filler(r.randint(0, 5))}."))
+    rows += [(500, ""), (501, "(" * 3000 + " 1 " * 50), (502, "a" * 9000 + "(at)" + "b" * 9000)]
+    want = graph(rows)
+    got = {x["doc_id"]: x["spans"] for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        base = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in known(t).split(",") if x)]
+        every = sorted(base + want.get(i, []), key=lambda x: (x[0], list(BASE).index(x[1]), x[2]))
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, k, e in every), (t, want.get(i))
+    kinds = {((*forms, "mail", "phone", "ip")[i % 11], k) for i, t in rows[:90] for _, k, _ in want.get(i, [])}
+    assert kinds == {("hidden", "email"), ("spaced", "phone"), ("far", "ip")}
