@@ -79,8 +79,9 @@ class PerfectHash:
 class Codec:
     """Ranks (token bytes to id) and a pattern of pre-tokens, as an encoder and decoder."""
 
-    #: Distinct pre-tokens whose ids a task remembers, at most; at that many it starts afresh.
-    REMEMBERED = 1 << 19
+    #: Distinct pre-tokens whose ids a task remembers, at most (at that many it starts afresh), and characters of the longest of them:
+    #: about 200 MB at most, and some 40 MB for usual texts.
+    REMEMBERED, LONGEST = 1 << 18, 32
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.whole, self.pattern = ranks, PerfectHash(ranks), pattern
@@ -150,9 +151,11 @@ class Codec:
         for t in self._find(text):
             ids = seen.get(t)
             if ids is None:
-                if len(seen) >= self.REMEMBERED:
-                    seen.clear()
-                ids = seen[t] = " ".join(map(str, self.word(t.encode("utf-8", "surrogatepass"))))
+                ids = " ".join(map(str, self.word(t.encode("utf-8", "surrogatepass"))))
+                if len(t) <= self.LONGEST:
+                    if len(seen) >= self.REMEMBERED:
+                        seen.clear()
+                    seen[t] = ids
             out.append(ids)
         return " ".join(out)
 

@@ -99,6 +99,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1))
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    whole, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+    return np.split(whole, ends[1:-1] - ends[0])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1 and of two components at least, so that there are two halves."""
     x = x / _norm(x)[:, None]
@@ -128,13 +133,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
     that they count as links without being compared. Other columns are left out; an empty table gives none.
 
     Codebooks and the search limit for the target `recall` are fitted on about `sample` vectors for each length of
-    vector; all vectors are indexed. Each visits the nearest cells up to the limit and is compared there with all vectors at home. Cells are cut into parts of about PART vectors, and visits to
-    each part are one tile. Tiles return counts of links and a spanning forest, not pairs.
+    vector; all vectors are indexed. There are about as many centres a half as make PART vectors a cell, but at most an eighth of the sample. Each
+    vector visits the nearest cells up to the limit and is compared there with all vectors at home. Cells are cut into parts of about PART vectors, and visits to
+    each part are one tile. Tiles return counts of links and a spanning forest, not pairs. A link that is found from one end only
+    counts at both.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    # components travel as they are: single precision is made double where cosines are taken
+    vector = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), vector.alias("v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = cut(rows.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", F.size("v"), F.transform("v", lambda x: x + 0.0)))))
+    rows = cut(rows.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", F.size("v"), F.transform("v", lambda x: x.cast("double") + 0.0)))))
     distinct = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     distinct = cut(distinct.withColumn("dim", F.size("v")))
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -142,7 +151,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
     for dim, n in sorted(sizes.items()):
         part = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / n)))).select("v")
         x = np.array([r["v"] for r in part.limit(2 * sample).collect()], dtype=np.float64)
-        indexes[dim] = MultiIndex(_unit(x), max(2, min(256, round(math.sqrt(n / PART)))), least, recall)
+        indexes[dim] = MultiIndex(_unit(x), max(2, min(sample // 8, round(math.sqrt(n / PART)))), least, recall)
     sent = spark.sparkContext.broadcast(indexes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +169,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
     cells = cut(distinct.select("key", "dim", "v").mapInArrow(assign, "key long, home long, visits array<long>"))
     placed = distinct.join(cells, "key")
     place = ["label", "dim", "cell"]
-    homes = placed.select("key", "n", "v", "label", "dim", F.col("home").alias("cell"))
+    homes = placed.select("key", "n", "v", "label", "dim", F.col("home").alias("cell"), F.col("visits").alias("ways"))
     parts = cut(homes.groupBy(place).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     homes = homes.join(parts, place).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("visitor", F.lit(False))
-    visits = placed.select("key", "n", "v", "label", "dim", F.explode("visits").alias("cell")).join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("visitor", F.lit(True))
+    visits = placed.select("key", "n", "v", "label", "dim", F.explode("visits").alias("cell"), F.array("home").alias("ways")).join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("visitor", F.lit(True))
     tile = F.xxhash64(*place, "part")
-    both = homes.unionByName(visits).select(tile.alias("tile"), "visitor", "dim", "key", "n", "v")
+    both = homes.unionByName(visits).select(tile.alias("tile"), "visitor", "dim", "key", "n", "v", "ways")
     dealt = both.repartition(n_partitions(spark), "tile").sortWithinPartitions("tile", "visitor")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,19 +189,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
                 if ids[a] != tile:
                     tile, at_home, block = ids[a], [], None
                 part = batch.slice(a, b - a)
-                own = (part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5)))
+                own = (part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5)), _lists(part.column(6)))
                 if not visitor[a]:
                     at_home.append(own)
                     continue
                 if not at_home:
                     continue
                 if block is None:
-                    block = [np.concatenate(c) for c in zip(*at_home, strict=True)]
+                    block = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*at_home, strict=True)]
                 for c in range(0, len(own[0]), 1024):
                     yield from meet(block, [o[c : c + 1024] for o in own])
 
     def meet(block, guests):
-        (hk, hn, hv), (gk, _, gv) = block, guests
+        (hk, hn, hv, ways), (gk, gn, gv, cells) = block, guests
         cosine = gv @ hv.T
         close = cosine >= least
         for g, h in zip(*np.nonzero(np.abs(cosine - least) < 1e-9), strict=True):  # the same answer from either side
@@ -203,11 +212,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.9995
             return
         counts = close @ hn.astype(np.int64)
         g, h = np.nonzero(close)
-        keys, back = np.unique(np.concatenate([gk, hk]), return_inverse=True)
-        root = roots(len(keys), back[: len(gk)][g], back[len(gk) :][h])
+        # who is at home counts a guest here unless it visits the guest's cell, where it will
+        wide = np.concatenate(ways)
+        known = np.repeat(np.arange(len(ways)), [len(w) for w in ways]) << 32 | wide
+        alone = ~np.isin(h << 32 | np.concatenate(cells)[g], known)
+        back_at, back = np.unique(h[alone], return_inverse=True)
+        back_n = np.bincount(back, weights=gn[g[alone]], minlength=len(back_at)).astype(np.int64)
+        keys, place = np.unique(np.concatenate([gk, hk]), return_inverse=True)
+        root = roots(len(keys), place[: len(gk)][g], place[len(gk) :][h])
         up = np.flatnonzero(root != np.arange(len(keys)))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([gk[some], keys[up]])), pa.array(np.concatenate([counts[some], np.zeros(len(up), np.int64)])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(keys[root[up]], pa.int64())])], names=["a", "links", "b"])
+        a, n = np.concatenate([gk[some], hk[back_at], keys[up]]), np.concatenate([counts[some], back_n, np.zeros(len(up), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.concat_arrays([pa.nulls(len(a) - len(up), pa.int64()), pa.array(keys[root[up]], pa.int64())])], names=["a", "links", "b"])
 
     met = cut(dealt.mapInArrow(compare, "a long, links long, b long"))
     root = components(met.where(F.col("b").isNotNull()).select("a", "b"))

@@ -48,9 +48,11 @@ def _rate(tilt: Column) -> Column:
 def tilts(hist: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
     """sources with _tilt: the dual variable of each source's constraint on words.
 
-    Entropy balancing with rates r in [0, MOST] has r = MOST / (1 + exp(-tilt * size)); the convex dual's gradient is
+    Entropy balancing with rates r in [0, MOST] (bounded, so logistic: exponential in tilt * size as long as they are
+    small) has r = MOST / (1 + exp(-tilt * size)); the convex dual's gradient is
     the source's expected words less its target. Each round is one Newton step for all sources, a partially aggregated sum
-    over distinct (source, size); a step that leaves the bracket found so far is halved into it.
+    over distinct (source, size); a step that leaves the bracket found so far is halved into it. The bracket alone would be
+    down to rounding in 80 rounds; not to have settled in `rounds` is an error.
     """
     state = cut(sources.withColumns({"_tilt": F.lit(0.0), "_low": F.lit(-1e7), "_high": F.lit(1e7), "_off": F.lit(1.0)}))
     keys = hist.join(sources.select("_s", "_source"), hist._source.eqNullSafe(sources._source)).select("_s", "_size", "_n")
@@ -69,6 +71,8 @@ def tilts(hist: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
         far = state.where((F.col("_off") > 1e-9) & (F.col("_high") - F.col("_low") > 1e-12 * F.abs("_tilt"))).limit(1).count()
         if not far:
             break
+    else:
+        raise RuntimeError(f"the sources' tilts did not settle in {rounds} Newton rounds")
     return state.withColumn("_tilt", F.round("_tilt", 9))
 
 

@@ -44,16 +44,22 @@ class OrderMinHash:
     def __init__(self, k: int = 16, keep: int = 2, bits: int = 6):
         self.k, self.keep, self.bits = k, keep, bits
         self.slots = 1 << bits
-        self._up, self._down = _powers(_BASE, 1 << 12), _powers(_UNBASE, 1 << 12)
 
     def _kmers(self, points: np.ndarray) -> np.ndarray:
-        n = len(points)
-        if n > len(self._up):
-            self._up, self._down = _powers(_BASE, 2 * n), _powers(_UNBASE, 2 * n)
-        k = min(self.k, n)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum((points.astype(_U) + _U(1)) * self._up[:n], out=total[1:])
-        return mixed((total[k:] - total[:-k]) * self._down[: n - k + 1])
+        """A polynomial hash of each k-mer, put together from those of 1, 2, 4, ... code points: memory is that of the text, and none stays."""
+        k, width = min(self.k, len(points)), 1
+        power, done = points.astype(_U) + _U(1), None  # hashes of `width` points, and of as many as the lower bits of k say
+        have = 0
+        while True:
+            if k & width:
+                if done is None:
+                    done = power
+                else:  # the lower bits' points stand behind these
+                    done = power[: len(power) - have] * _U(pow(_BASE, have, 1 << 64)) + done[width:]
+                have += width
+            if have == k:
+                return mixed(done)
+            power, width = power[:-width] * _U(pow(_BASE, width, 1 << 64)) + power[width:], 2 * width
 
     def tuples(self, points: np.ndarray) -> np.ndarray:
         """A 32-bit hash of each slot's tuple; 0 where a slot is empty."""

@@ -47,8 +47,30 @@ def with_simhash(docs: DataFrame, text: str = "text", into: str = "simhash") ->
     return kept.mapInArrow(run, schema)
 
 
-#: Fingerprints in one tile of a bucket, about.
-TILE = 1024
+#: Fingerprints in one tile of a bucket, about; blocks that a hot bucket's open bits are cut into; what makes a tile.
+TILE, FINER = 1024, 6
+KEY = ["j", "i", "v", "c"]
+
+
+def _choices(bits: int, blocks: int) -> list[int]:
+    """Masks of all but RADIUS of so many blocks of the set bits, for each choice."""
+    places = [b for b in range(64) if bits >> b & 1]
+    edges = [round(len(places) * k / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in places[a:e]) for a, e in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(kept) for kept in itertools.combinations(parts, blocks - RADIUS)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _banded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(x, j, i, v) at home in their own range c of population counts and visiting the one below; and n of each tile in which some may meet."""
+    band = F.floor(F.bit_count("x") / (RADIUS + 1)).cast("int")
+    both = F.array(F.struct(band.alias("c"), F.lit(True).alias("home")), F.struct((band - 1).alias("c"), F.lit(False).alias("home")))
+    rows = rows.select("x", "j", "i", "v", F.explode(both).alias("t")).select("x", "j", "i", "v", "t.*")
+    counts = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("n > 1 and homes > 0")
+    return rows, counts.select(*KEY, "n")
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,23 +130,30 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     The 64 bits are cut into blocks; RADIUS bits touch at most RADIUS of them, so two linked fingerprints agree
     in some choice of all but RADIUS blocks, and each such choice is a bucket. There are as many blocks as make chance
     company in a bucket rare (one in sixteen) for n fingerprints; the answer is the same for any number. In a bucket a tile holds a range of population counts
-    wider than RADIUS, at home, and as visitors those of the range above: tiles further apart are never compared. Tiles of
-    more than TILE rows are cut into parts, and each two parts meet in a task of their own.
+    wider than RADIUS, at home, and as visitors those of the range above: tiles further apart are never compared.
+
+    A bucket with more than TILE rows in a tile is hot: its rows are dealt anew by choices of all but RADIUS of FINER blocks of the bits that
+    the bucket leaves open, one row for each choice, so that only those meet which agree in more bits. As many as then are
+    still more than TILE (half the open bits stay open, 16 of 64 for hundreds of millions of fingerprints) are cut into parts, each two of which
+    meet in a tile of their own.
     """
     blocks = next(b for b in itertools.count(RADIUS + 1) if 16 * n <= 1 << 64 * (b - RADIUS) // b or b == 12)
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in kept) for kept in itertools.combinations(range(blocks), blocks - RADIUS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bucket = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("x").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)))).alias("bucket")
-    band = F.floor(F.bit_count("x") / (RADIUS + 1)).cast("int")
-    rows = prints.select("x", band.alias("c"), bucket).select("x", "bucket.i", "bucket.v", F.explode(F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("home")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("home")))).alias("t")).select("x", "i", "v", "t.*")
-    key = ["i", "v", "c"]
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("n > 1 and homes > 0")
-    rows = rows.join(counts.select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("parts")), key)
+    masks = _choices((1 << 64) - 1, blocks)
+    bucket = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("x").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)))).alias("bucket")
+    rows, counts = _banded(prints.select("x", bucket).select("x", F.lit(-1).alias("j"), "bucket.i", "bucket.v"))
+    counts = cut(counts)
+    cold = rows.join(counts.where(F.col("n") <= TILE), KEY)
+    # in a hot bucket the bits that are not chosen are cut into blocks again: its pairs agree in some choice of those too
+    finer = F.array(*(F.array(*(F.lit(_signed(m | f)) for f in _choices(~m & (1 << 64) - 1, FINER))) for m in masks))
+    hot = rows.where("home").join(counts.where(F.col("n") > TILE).select("i", "v").distinct(), ["i", "v"], "left_semi").select("x", "i").distinct()
+    again = hot.select("x", "i", F.posexplode(F.element_at(finer, F.col("i") + 1)).alias("j", "mask")).select("x", "j", "i", F.col("x").bitwiseAND(F.col("mask")).alias("v"))
+    again, finer_counts = _banded(again)
+    again = again.join(cut(finer_counts), KEY)
+    rows = cold.unionByName(again).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
     part = F.pmod(F.xxhash64("x"), "parts").cast("int")
     rows = rows.withColumn("own", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     one, two = F.least("own", "with"), F.greatest("own", "with")
-    rows = rows.select(F.xxhash64(*key, one, two).alias("key"), F.when(one == two, 2).when(F.col("own") == one, 0).otherwise(1).alias("side"), "home", "x")
+    rows = rows.select(F.xxhash64(*KEY, one, two).alias("key"), F.when(one == two, 2).when(F.col("own") == one, 0).otherwise(1).alias("side"), "home", "x")
     dealt = rows.repartition(n_partitions(prints.sparkSession), "key").sortWithinPartitions("key", "x")
     return dealt.mapInArrow(_tile_links, "a long, b long")
 

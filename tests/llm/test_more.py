@@ -1,5 +1,6 @@
 """Methods against brute force where small tables don't reach: many languages, altered notices, forced collisions, clashing names."""
 
+import hashlib
 import pickle
 import random
 import re
@@ -11,7 +12,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, lines, pii, suffixes
+from tessera.llm import embeddings, langid, licenses, lines, mixing, ordermin, pii, simhash, suffixes
+from tessera.llm.common import roots
 from tests.llm.test_ops import BASE, known, prose, repeated, same
 
 
@@ -318,3 +320,146 @@ def test_discovery_against_a_plain_graph(spark):
         assert got[i] == ",".join(f"{k}:{s}:{e}" for s, k, e in every), (t, want.get(i))
     kinds = {((*forms, "mail", "phone", "ip")[i % 11], k) for i, t in rows[:90] for _, k, _ in want.get(i, [])}
     assert kinds == {("hidden", "email"), ("spaced", "phone"), ("far", "ip")}
+
+
+# ---- 2
+
+
+def test_rates_meet_the_targets_before_any_rounding(spark):
+    r = random.Random(5)
+    rows = [(i, f"s{r.choice('aab')}" if i % 9 else None, r.randint(0, 60) ** 2 // 9) for i in range(1500)]
+    hist = spark.createDataFrame(rows, "doc_id long, _source string, _size long").groupBy("_source", "_size").agg(F.count("*").alias("_n"))
+    sources = mixing.targets(hist, (3, 1, 2), 1.5)
+    got = {x["_source"]: x for x in mixing.tilts(hist, sources).collect()}
+    for name in {s for _, s, _ in rows}:
+        sizes = np.array([n for _, s, n in rows if s == name], float)
+        target, mean = got[name]["_target"], got[name]["_mean"]
+
+        def words(tilt, sizes=sizes, mean=mean):
+            return float((sizes * 2 / (1 + np.exp(np.clip(-tilt * sizes / mean, -700, 700)))).sum())
+
+        if target >= 2 * sizes.sum():  # a full source has no tilt: all of it is taken twice
+            assert target == 2 * sizes.sum()
+            continue
+        low, high = -1e6, 1e6  # the only tilt that meets the target, by halving
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if words((low + high) / 2) < target else (low, (low + high) / 2)
+        assert words(got[name]["_tilt"]) == pytest.approx(target, rel=1e-6)
+        assert got[name]["_tilt"] == pytest.approx(low, rel=1e-4, abs=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.tilts(hist, sources, rounds=1)
+
+
+# ---- 6
+
+
+def plain_fingerprint(text: str, k: int = 16, keep: int = 2, bits: int = 6) -> list[int]:
+    """Order MinHash by strings and whole numbers: occurrence-numbered k-mers, the smallest of each slot, in text order."""
+    top = (1 << 64) - 1
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    k = min(k, len(text))
+    if not k:
+        return [0] * (1 << bits)
+    often, kmers = {}, []
+    for i in range(len(text) - k + 1):
+        s = text[i : i + k]
+        number = often[s] = often.get(s, -1) + 1
+        h = 0
+        for c in s:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & top
+        kmers.append((scramble((scramble(h) + number * 0xD6E8FEB86659FD93) & top), i))
+    out = []
+    for slot in range(1 << bits):
+        least = sorted(x for x in kmers if x[0] >> (64 - bits) == slot)[:keep]
+        joined = 0
+        for j, (g, _) in enumerate(sorted(least, key=lambda x: x[1]) + [(0, 0)] * (keep - len(least))):
+            joined = scramble((joined * 31 + g + j) & top)
+        out.append(joined >> 32 | 1 if least else 0)
+    return out
+
+
+def test_fingerprints_against_plain_numbers(spark):
+    r = random.Random(7)
+    texts = ["", "a", "short", "exactly 16 chars", "a" * 200, "abab" * 60, prose(1, 80), prose(2, 300), "日本😀" * 40, prose(1, 40) + prose(1, 40)]
+    texts += ["".join(r.choice("ab ") for _ in range(n)) for n in (15, 17, 31, 33, 100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(99, None)]
+    got = {x["doc_id"]: x for x in ordermin.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+
+    def like(a, b):
+        either = sum(1 for x, y in zip(a, b, strict=True) if x or y)
+        return sum(1 for x, y in zip(a, b, strict=True) if x and x == y) / either if either else 1.0
+
+    for n, (i, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        mine, changed, other = (plain_fingerprint(x) for x in (t, edited, after))
+        row = got[i]
+        assert (row["n_chars"], row["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (row["fingerprint"], row["edited_fingerprint"]) == ("".join(f"{x:08x}" for x in mine), "".join(f"{x:08x}" for x in changed))
+        assert (row["near_edited"], row["near_next"]) == (like(mine, changed), like(mine, other))
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 7, 16, 23])
+def test_any_length_of_kmers(k):
+    text = prose(3, 20)
+    assert ordermin.OrderMinHash(k=k, bits=3).tuples(langid.code_points(text)).tolist() == plain_fingerprint(text, k=k, bits=3)
+
+
+# ---- 7
+
+
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_a_hot_bucket(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    prints = sorted({base ^ r.getrandbits(14) << r.choice([0, 3, 50]) for _ in range(700)})  # one bucket for almost all choices
+    x = np.array(prints, dtype=np.uint64)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "x long")
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
+    at = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    found = simhash.links(df, len(x)).collect()
+    a, b = np.array([(at[e["a"]], at[e["b"]]) for e in found]).reshape(-1, 2).T
+    assert all((prints[p] ^ prints[q]).bit_count() <= 64 for p, q in zip(a, b, strict=True))
+    assert np.array_equal(roots(len(x), a, b), roots(len(x), i, j))
+
+
+# ---- 10
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_count_at_both_ends(spark, kind, monkeypatch):
+    monkeypatch.setattr(embeddings, "PART", 20)  # many small cells
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 24))
+    x = np.concatenate([c + r.normal(size=(25, 24)) * 0.16 for c in centres]).astype(np.float32)
+    rows = [(k, v.tolist(), int(k % 2), "clash") for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, n_links string")
+    got = {y["vec_id"]: y["n_links"] for y in embeddings.near_vectors(table, recall=0.9).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    close = (unit @ unit.T >= 0.93) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None, :] % 2)
+    np.fill_diagonal(close, False)
+    want = close.sum(axis=1)
+    counts = np.array([got[k] for k in range(len(x))])
+    assert (counts <= want).all() and counts.sum() % 2 == 0  # whoever has a link, the other has it too
+    assert counts.sum() >= 0.9 * want.sum() > 0
+
+
+def test_pruning_keeps_the_links_of_a_sample():
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(300, 16))
+    x = np.concatenate([c + r.normal(size=(12, 16)) * 0.15 for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embeddings.MultiIndex(x[::3], 32, 0.93, 0.9995)
+    home, row, cell = index.look(x)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    visited = set(zip(row.tolist(), cell.tolist(), strict=True))
+    either = [(int(a), int(home[b])) in visited or (int(b), int(home[a])) in visited for a, b in zip(i, j, strict=True)]
+    assert len(i) > 1000 and np.mean(either) >= 0.999
+    assert len(visited) < 0.25 * len(x) * len(index.books[0]) * len(index.books[1])
