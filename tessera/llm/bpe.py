@@ -13,6 +13,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import beside
+
 _M = (1 << 64) - 1
 
 
@@ -184,13 +186,13 @@ def bpe_encode(docs: DataFrame, codec: Codec, text: str = "text", digest: bool =
     types = {"n_tokens": "long", **({"ids": "array<int>"} if ids or not digest else {}), **({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"decoded": "string"})}
     made, arrow = list(types), {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     kept = docs.drop(*(x for x in made if x != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{x} {t}" for x, t in types.items())])
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = sent.value
         for batch in batches:
             out = {x: [] for x in made}
-            for t in batch.column(batch.schema.get_field_index(text)):
+            for t in batch.column(at):
                 joined = codec.encode_text(t.as_py() or "")
                 found = list(map(int, joined.split(" "))) if joined else []
                 raw = codec.decode(found)
@@ -203,9 +205,9 @@ def bpe_encode(docs: DataFrame, codec: Codec, text: str = "text", digest: bool =
                 else:
                     out["decoded"].append(raw.decode("utf-8", "replace"))
             new = [pa.array(out[x], arrow[t]) for x, t in types.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f"m{i}" for i in range(len(made)))])
 
-    return kept.mapInArrow(run, schema)
+    return beside(kept, types, run)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Applications whose tables are to be deleted when Python ends.
 _MINE: set[str] = set()
 
@@ -45,7 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
         _MINE.add(mine)
         atexit.register(_delete, spark, mine)
     path = f"{mine}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # once the table is written, nobody needs the shuffle files that it came from
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +70,15 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, name)
 
 
+def beside(docs: DataFrame, made: dict[str, str], run) -> DataFrame:
+    """docs and the columns `made` (name to type) that run adds to each Arrow batch, by mapInArrow, which can't take every name: columns
+    go through it by number."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields), *(f"m{i} {t}" for i, t in enumerate(made.values()))])
+    return plain.mapInArrow(run, schema).toDF(*names, *made)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

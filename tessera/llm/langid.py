@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import beside
+
 _CODES = 0x110000
 _LETTERS: list[np.ndarray] = []
 
@@ -363,17 +365,17 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
     """
     sent = docs.sparkSession.sparkContext.broadcast(languages)
     kept = docs.drop(*(x for x in ("lang_pred", "score") if x != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "lang_pred string", "score double"])
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = sent.value
         for whole in batches:
             for a in range(0, max(1, whole.num_rows), 2048):
                 batch = whole.slice(a, 2048)
-                names, scores = languages.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                names, scores = languages.predict(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "m0", "m1"])
 
-    return kept.mapInArrow(run, schema)
+    return beside(kept, {"lang_pred": "string", "score": "double"}, run)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     out = out.withColumns({"n_lines": count("__lines"), "n_removed": count("__gone")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")))
-    return out.select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    return out.select(*(F.col(f"`{c}`") for c in docs.drop("n_lines", "n_removed").columns), "n_lines", "n_removed")
 
 
 OP3_SQL = """

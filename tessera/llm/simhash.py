@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, n_partitions, roots
+from tessera.llm.common import beside, components, cut, n_partitions, roots
 
 RADIUS = 3
 _U = np.uint64
@@ -37,14 +37,14 @@ def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
 def with_simhash(docs: DataFrame, text: str = "text", into: str = "simhash") -> DataFrame:
     """docs and into: the 64 fingerprint bits as a long. A null text counts as empty: 0."""
     kept = docs.drop(into) if into != text else docs
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{into}` long"])
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([simhash(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))], dtype=_U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, into])
+            made = np.array([simhash(t.as_py() or "") for t in batch.column(at)], dtype=_U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, "m0"])
 
-    return kept.mapInArrow(run, schema)
+    return beside(kept, {into: "long"}, run)
 
 
 #: Fingerprints in one tile of a bucket, about; blocks that a hot bucket's open bits are cut into; what makes a tile.

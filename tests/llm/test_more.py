@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import embeddings, langid, licenses, lines, mixing, ordermin, pii, simhash, suffixes
 from tessera.llm.common import roots
-from tests.llm.test_ops import BASE, known, prose, repeated, same
+from tests.conftest import SF
+from tests.llm.test_ops import BASE, SCHEMA, corpus, known, plain_simhash, prose, repeated, same, water
 
 
 def speech(r: random.Random, letters: str, n: int, words: int = 500) -> tuple[str, list[str]]:
@@ -463,3 +466,84 @@ def test_pruning_keeps_the_links_of_a_sample():
     either = [(int(a), int(home[b])) in visited or (int(b), int(home[a])) in visited for a, b in zip(i, j, strict=True)]
     assert len(i) > 1000 and np.mean(either) >= 0.999
     assert len(visited) < 0.25 * len(x) * len(index.books[0]) * len(index.books[1])
+
+
+# ---- pipeline
+
+CLASHES = ["id", "copies", "size", "h", "row", "w", "n", "i", "k", "x", "key", "part", "tail", "kind", "bucket", "data", "print", "n_lines", "n_removed", "lang_pred", "score", "target", "taken", "n_tokens", "ids", "__row", "__copies", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    return docs.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+
+
+def test_stages_carry_any_other_column(spark, clashing):
+    at = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == clashing.columns, name
+        rows = at.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES), name
+        at = spark.createDataFrame(rows, at.schema)
+    assert corpus_pipeline.encode(spark, at, SF).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+@pytest.mark.parametrize("operator, columns", [
+    (lambda d: suffixes.repeated_bytes(d), 6), (lambda d: lines.dedup_lines(d), None), (lambda d: ordermin.fingerprints(d), 7), (lambda d: simhash.near_duplicates(d), 3),
+    (lambda d: licenses.scan_licenses(d), 5), (lambda d: pii.find_pii(d), 7), (lambda d: mixing.mix(d.withColumn("size", F.length("text"))), 7),
+    (lambda d: langid.identify(d, langid.Languages({"a": "some text", "b": "other words"})), None),
+])
+def test_operators_with_clashing_names(clashing, operator, columns):
+    out = operator(clashing)
+    rows = out.collect()
+    assert columns is None or len(out.columns) == columns
+    assert len(rows) == len(corpus()) or out.columns[1] == "license"
+
+
+def test_stages_of_an_empty_table(spark):
+    at = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, SF)
+        assert at.count() == 0
+
+
+def test_language_stage_by_brute_force(spark):
+    r = random.Random(12)
+    speech_of = {"aa": speech(r, "abcdefg", 900)[1], "bb": speech(r, "nopqrst", 900)[1]}
+    rows = []
+    for i in range(80):
+        lang = "ab"[i % 2] * 2
+        label = {0: lang, 1: None, 2: "zz", 3: "aa" if lang == "bb" else "bb"}[0 if i % 10 < 7 else i % 10 - 6]
+        rows.append((i, " ".join(r.choice(speech_of[lang]) for _ in range(60)), label, "s", 1))
+    rows += [(90, "12 34", "aa", "s", 1), (91, None, "aa", "s", 1), (92, "", None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    belied = set()
+    for i, t, label, _, _ in rows[:80]:
+        names, scores = model.predict([t])
+        if label in model.names and names[0] != label and scores[0] >= corpus_pipeline.SURE:
+            belied.add(i)
+    assert kept == set(range(80)) - belied and len(belied) > 4
+    assert all(rows[i][2] != "ab"[i % 2] * 2 for i in belied)  # whose label is wrong
+
+
+def test_pipeline_drops_and_repeats_by_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, prose(i, 40 + r.randint(0, 60)), "a", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end", "a", rows[i][3], 1) for i in range(12)]  # near copies
+    before = spark.createDataFrame(rows, SCHEMA)
+    kept = [tuple(x) for x in corpus_pipeline.near_dedup(spark, before, SF).collect()]
+    prints = [plain_simhash(t) for _, t, *_ in rows]
+    i, j = np.nonzero(np.array([[(a ^ b).bit_count() <= 3 for b in prints] for a in prints]))
+    same(kept, [rows[k] for k in sorted(set(roots(len(rows), i, j).tolist()))])
+    mixed_rows = corpus_pipeline.mix_sources(spark, spark.createDataFrame(kept, SCHEMA), SF).collect()
+    words = {t: len(t.split()) for _, t, *_ in kept}
+    sizes = [sum(words[t] for _, t, _, s, _ in kept if s == f"s{k}") for k in range(3)]
+    for k, want in water(sizes, [3, 1, 2]).items():
+        got = sum(words[x["text"]] for x in mixed_rows if x["source"] == f"s{k}")
+        assert abs(got - want) <= min(words[t] for _, t, _, s, _ in kept if s == f"s{k}") / 2 + 1
+    taken = Counter(x["doc_id"] for x in mixed_rows)
+    assert set(taken) <= {x[0] for x in kept} and max(taken.values()) <= 2
