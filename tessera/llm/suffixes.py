@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ LENGTH, ANCHOR = 50, 24
 STRETCH, SORTED = 1 << 22, 1 << 21
 #: Segments of one anchor, a batch's first ones, beyond which each of their strings is dealt by its own hash instead of the anchor.
 HOT = 4096
+#: Parts, by anchor, in which segments' texts are sent and sorted one after the other: each takes that much less disk.
+PASSES = 2
 _PLACE = 23
 _POWERS: list[np.ndarray] = []
 
@@ -83,19 +86,28 @@ def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
 
 
 def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """places in order of what stands there, five bytes a round; only what is still tied goes on."""
+    """places in order of what stands there, five bytes a round. Only what is still tied goes on, unless all that is tied together is equal
+    to the last byte, which is looked at after a few rounds: then any order of them is one."""
     words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth + 13, np.uint8)]), 8)
     key = lambda at, level: np.ascontiguousarray(words[at + 5 * level]).view(">u8").ravel().astype(_U) >> _U(24)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth + 8, np.uint8)]), -(-depth // 8) * 8)
     if not len(places):
         return places
     k = key(places, 0)
     order, k = _by_key(k, 40)
     places = places[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
+    settled = np.zeros(len(places), bool)
     for level in range(1, -(-depth // 5)):
         tied = ~new
         tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(tied & ~settled)
+        if level in (3, 6) and len(at):
+            same = _equal(rows, places[at]) | new[at]
+            first = np.flatnonzero(new[at])
+            whole = np.logical_and.reduceat(same, first)
+            settled[at] = np.repeat(whole, np.diff(np.append(first, len(at))))
+            at = at[~settled[at]]
         if not len(at):
             break
         group = np.cumsum(new[at])  # those of a group are neighbours: the first of each is marked
@@ -112,6 +124,15 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return places
 
 
+def _equal(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether what stands at each place is what stands at the one before it in places."""
+    out = np.zeros(len(places), bool)
+    for a in range(0, len(places), 1 << 14):
+        some = rows[places[max(0, a - 1) : a + (1 << 14)]].view(np.uint64)
+        out[max(1, a) : a + (1 << 14)] = (some[1:] == some[:-1]).all(axis=1)
+    return out
+
+
 def _by_key(k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys of so many bits, and the keys in order: with the places in the low bits, if there is room, as sorting numbers is
     several times faster than sorting places."""
@@ -315,10 +336,10 @@ def _find(n: int):
     return run
 
 
-def _compare(n: int):
-    """Segments of a bucket of anchors to those that must be sorted: whose anchor several documents have."""
+def _compare(n: int, passes: int = 1):
+    """Segments of a bucket of anchors to those that must be sorted: whose anchor several documents have. They are dealt to passes by bucket."""
 
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[tuple], bucket: int) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         runs = [x[2].astype(np.int64) for x in held]
@@ -333,7 +354,7 @@ def _compare(n: int):
         marks = np.concatenate([np.repeat(x[1].astype(np.int64), r) for x, r in zip(held, runs, strict=True)])[want]
         start, count = (np.concatenate([x[i] for x in held])[want].astype(np.int64) for i in (3, 4))
         held.clear()
-        out = _by_document(WANTED, n, ids[want], marks, start, count, anchor[want], hot)
+        out = _by_document(WANTED + 10 * (bucket % passes), n, ids[want], marks, start, count, anchor[want], hot)
         if out:
             yield _rows(out)
 
@@ -346,10 +367,10 @@ def _compare(n: int):
             for b, kind, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
                 if kind == SEGMENTS:
                     if b != bucket:
-                        yield from settle(held)
+                        yield from settle(held, bucket)
                         bucket = b
                     held.append(pickle.loads(data))
-        yield from settle(held)
+        yield from settle(held, bucket)
 
     return run
 
@@ -510,8 +531,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nothing and take nothing from others; rows with the same doc_id take nothing from each other, so repeated rows get the
     same result. Texts of any length are hashed in stretches; other columns are left out.
 
-    Three passes over the text, two of which shuffle it: segments by anchor (hashes alone move; what a batch of documents has twice is
-    settled before, in one suffix array), the texts of the segments whose anchor several batches have, and the removal. Buckets grow
+    The text is read for the segments by anchor (hashes alone move; what a batch of documents has twice is settled before, in one suffix
+    array), in each of PASSES for the texts of the segments whose anchor several batches have, and for the removal; the latter shuffle it. Buckets grow
     in number with the bytes of text. A third of all documents with one passage share its anchors, which in each batch is one
     segment; an anchor with more than HOT of them is dealt string by string, by the strings' own hashes. The result is the same on each way.
     """
@@ -520,13 +541,16 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = _prime(max(2, n_partitions(spark), total >> 25))
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    found = able.mapInArrow(_find(n), ROWS).repartitionById(n, "bucket").mapInArrow(_compare(n), ROWS)
+    found = able.mapInArrow(_find(n), ROWS).repartitionById(n, "bucket").mapInArrow(_compare(n, PASSES), ROWS)
     found = cut(found)
+    repeats = [found.where(F.col("kind") == REPEATS)]
     place = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("int")
     as_rows = lambda df: df.select(place.alias("bucket"), F.lit(DOCUMENT).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("data"))
     meet = lambda df, data: as_rows(df).unionByName(data).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
-    sorted_out = cut(meet(able, found.where(F.col("kind") == WANTED)).mapInArrow(_fetch(n), ROWS).repartitionById(n, "bucket").mapInArrow(_sort(n), ROWS))
-    return meet(rows, found.where(F.col("kind") == REPEATS).unionByName(sorted_out)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    for k in range(PASSES):
+        wanted = found.where(F.col("kind") == WANTED + 10 * k).withColumn("kind", F.lit(WANTED))
+        repeats.append(cut(meet(able, wanted).mapInArrow(_fetch(n), ROWS).repartitionById(n, "bucket").mapInArrow(_sort(n), ROWS)))
+    return meet(rows, reduce(DataFrame.unionByName, repeats)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 OP1_SQL = """
