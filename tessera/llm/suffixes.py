@@ -24,12 +24,12 @@ from tessera.llm.ordermin import _BASE, _UNBASE, _powers, mixed
 _U = np.uint64
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text that are hashed at once, and bytes of segments that make one suffix array, about.
-STRETCH, SORTED = 1 << 22, 1 << 21
+STRETCH, SORTED = 1 << 21, 1 << 20
 #: Segments of one anchor, a batch's first ones, beyond which each of their strings is dealt by its own hash instead of the anchor.
 HOT = 4096
 #: Parts, by anchor, in which segments' texts are sent and sorted one after the other: each takes that much less disk.
 PASSES = 2
-_PLACE = 23
+_PLACE = 22
 _POWERS: list[np.ndarray] = []
 
 
@@ -281,7 +281,7 @@ def _late(ids: np.ndarray, texts: list[bytes], s: dict[str, np.ndarray]) -> tupl
     at = at[np.lexsort((s["start"][at], s["doc"][at]))]
     doc, start, n, anchor = (s[k][at] for k in ("doc", "start", "n", "anchor"))
     run_doc, run_start, run_n = _merged(doc, start, n)
-    if int((run_n + LENGTH - 1).sum()) > 4 * SORTED and len(ids) > 1:  # two arrays of half the documents; what both have is settled by anchor
+    if int((run_n + LENGTH - 1).sum()) > 2 * SORTED and len(ids) > 1:  # two arrays of half the documents; what both have is settled by anchor
         half = len(ids) // 2
         parts = []
         for low, high in ((0, half), (half, len(ids))):
