@@ -31,16 +31,19 @@ def _path(path: str) -> str:
     return rest if mode in ("lax", "strict") else path
 
 
+def _is_nested(x: Column | str, path: str) -> Column:
+    """Whether the value at path is an object or an array, whatever its text begins with; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(_c(x)), _path(path), "variant")).rlike("^(OBJECT|ARRAY)")
+
+
 def json_value(x: Column | str, path: str) -> Column:
     """The scalar at path as text; null where there is none, or an object or array."""
-    got = F.get_json_object(_c(x), _path(path))
-    return F.when(~got.rlike(r"^\s*[\[{]"), got)
+    return F.when(~_is_nested(x, path), F.get_json_object(_c(x), _path(path)))
 
 
 def json_query(x: Column | str, path: str) -> Column:
     """The object or array at path as text; null for scalars."""
-    got = F.get_json_object(_c(x), _path(path))
-    return F.when(got.rlike(r"^\s*[\[{]"), got)
+    return F.when(_is_nested(x, path), F.get_json_object(_c(x), _path(path)))
 
 
 def json_exists(x: Column | str, path: str) -> Column:

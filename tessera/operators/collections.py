@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _row(df: DataFrame):
-    return F.struct(*df.columns) if len(df.columns) > 1 else F.col(df.columns[0])
-
-
 def collect_array(df: DataFrame, order: list | None = None, by: list[str] | None = None, name: str = "items") -> DataFrame:
     """All rows (of each group `by`) as one array; nulls stay, and `order` gives the elements' order. One row even over nothing, without groups.
 

@@ -42,22 +42,43 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], on
         able &= right[b].isNotNull()
     # the right rows of a time stand before the left rows that may see them, the tie's first one nearest
     seen = 2 if strict else 0
-    sides = left.select(*lkeys, left[on[0]].alias("at"), F.lit(1).alias("side"), F.lit(None).cast(_type(right, tie)).alias("tie"), lrow.alias("l"), F.lit(None).cast(_type(right, rrow)).alias("r"))
+    whole = left[on[0]].isNotNull()
+    for a, _ in keys:
+        whole &= left[a].isNotNull()
+    sides = left.where(whole).select(*lkeys, left[on[0]].alias("at"), F.lit(1).alias("side"), F.lit(None).cast(_type(right, tie)).alias("tie"), lrow.alias("l"), F.lit(None).cast(_type(right, rrow)).alias("r"))
     others = right.where(able).select(*rkeys, right[on[1]].alias("at"), F.lit(seen).alias("side"), tie.alias("tie"), F.lit(None).cast(_type(left, lrow)).alias("l"), rrow.alias("r"))
     both = sides.unionByName(others)
     at = F.col("at").asc_nulls_first() if back else F.col("at").desc_nulls_first()
     w = Window.partitionBy(*names).orderBy(at, "side", F.col("tie").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("m", F.last("r", ignorenulls=True).over(w)).where("side = 1")
-    known = F.col("at").isNotNull()
-    for n in names:
-        known &= F.col(n).isNotNull()
-    match = F.when(known, F.col("m"))
-    out = out.select("l", match.alias("m"))
+    out = out.select("l", "m")
     if how == "inner":
         out = out.where("m IS NOT NULL")
+    else:  # rows that can't match never go to the window, where all nulls of a key would meet in one task
+        out = out.unionByName(left.where(~whole).select(lrow.alias("l"), F.lit(None).cast(_type(right, rrow)).alias("m")))
     return out.select(*(F.col(f"l.c{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"m.c{i}").alias(prefix + c) for i, c in enumerate(right.columns)))
 
 
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, keys: list[tuple[str, str]] | None = None, width: float | None = None, how: str = "inner") -> DataFrame:
+    """Rows of left with each row of right for which low <= point < high (and equal keys), by cells of `width` on the line: right rows
+    stand in each cell that they reach into, and a left row looks into its own, so that it is an equi-join on (keys, cell). width defaults to
+    about the average length of the intervals. how: inner or left. Nulls match nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"a range join is inner or left, not {how!r}")
+    if width is None:
+        width = right.select(F.avg(F.col(high).cast("double") - F.col(low).cast("double"))).first()[0] or 1.0
+    cell = lambda c: F.floor(c.cast("double") / F.lit(float(width)))
+    reach = right.where(F.col(low) < F.col(high))
+    reach = reach.withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    reach = reach.select(*(F.col(c).alias(f"__r_{c}") for c in right.columns), "__cell")
+    own = left.withColumn("__own", cell(F.col(point)))
+    test = (F.col("__own") == F.col("__cell")) & (F.col(point) >= F.col(f"__r_{low}")) & (F.col(point) < F.col(f"__r_{high}"))
+    for a, b in keys or []:
+        test &= F.col(a) == F.col(f"__r_{b}")
+    return own.join(reach, test, how).select(*left.columns, *(F.col(f"__r_{c}").alias(c if c not in left.columns else f"r_{c}") for c in right.columns))
+
+
 def _type(df: DataFrame, column: Column):
     return df.select(column.alias("x")).schema["x"].dataType
 
@@ -85,23 +106,34 @@ def mark_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], m
     known = [F.col(c).isNotNull() for c in lcols]
     # a pair of rows is unknown if every pair of values is equal or has a null: join on the columns known on both sides
     hits = out.where(_all(known)).join(full, _all([F.col(c) == F.col(f"__r{i}") for i, c in enumerate(lcols)]), "left_semi").select("__id", F.lit(True).alias("__hit"))
-    maybe = None
-    for pattern in range(1 << n):
+    maybe = out.select("__id").limit(0)
+    # only patterns of nulls that are there: one join for each pair of them, usually few
+    theirs = {r[0] for r in keys.select(_pattern([F.col(f"__r{i}") for i in range(n)])).distinct().collect()}
+    ours = {r[0] for r in out.select(_pattern([F.col(c) for c in lcols])).distinct().collect()}
+    for pattern in sorted(theirs):
         rnull = [bool(pattern >> i & 1) for i in range(n)]
         some = keys.where(_all([F.col(f"__r{i}").isNull() if z else F.col(f"__r{i}").isNotNull() for i, z in enumerate(rnull)]))
-        for lpattern in range(1 << n):
+        for lpattern in sorted(ours):
             lnull = [bool(lpattern >> i & 1) for i in range(n)]
             if not (pattern | lpattern):
                 continue
             own = out.where(_all([~k if z else k for k, z in zip(known, lnull, strict=True)]))
             shared = [i for i in range(n) if not rnull[i] and not lnull[i]]
             found = own.join(some, _all([F.col(lcols[i]) == F.col(f"__r{i}") for i in shared]), "left_semi") if shared else own.join(F.broadcast(some.select(F.lit(1).alias("__one")).limit(1)), F.lit(True), "left_semi")
-            maybe = found.select("__id") if maybe is None else maybe.unionByName(found.select("__id"))
+            maybe = maybe.unionByName(found.select("__id"))
     maybe = maybe.distinct().withColumn("__maybe", F.lit(True))
     value = F.when(F.col("__hit"), True).when(F.col("__maybe"), F.lit(None)).otherwise(False).cast("boolean")
     return out.join(hits, "__id", "left").join(maybe, "__id", "left").select(*(F.col(c) for c in left.columns), value.alias(mark))
 
 
+def _pattern(columns: list[Column]) -> Column:
+    """Which of the columns are null, as bits."""
+    bits = F.lit(0)
+    for i, c in enumerate(columns):
+        bits = bits + F.when(c.isNull(), 1 << i).otherwise(0)
+    return bits
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Define = Callable[[Callable[[str, int], Column]], Column]
+#: A function of at(column, offset), or a text with names in it, and which column and offset each of them stands for.
+Define = Callable[[Callable[[str, int], Column]], Column] | tuple[str, dict[str, tuple[str, int]]]
 
 
 def match_sequence(df: DataFrame, partition: list[str], order: list, symbols: list[str], define: dict[str, Define], measures: dict[str, tuple[str, str]]) -> DataFrame:
@@ -23,10 +24,18 @@ def match_sequence(df: DataFrame, partition: list[str], order: list, symbols: li
     def column(name: str, place: int) -> Column:
         return F.lead(name, place).over(w) if place > 0 else F.lag(name, -place).over(w) if place < 0 else F.col(name)
 
+    named, texts = {}, {}
+    for i, s in enumerate(symbols):
+        if isinstance(define.get(s), tuple):
+            texts[s], places = define[s]
+            for name, (c, offset) in places.items():
+                named[f"__s{i}{name}"] = column(c, i + offset)
+                texts[s] = texts[s].replace(f"`{name}`", f"`__s{i}{name}`")
+    df = df.withColumns(named) if named else df
     ok = F.lead(F.lit(1), n - 1).over(w).isNotNull() if n > 1 else F.lit(True)
     for i, s in enumerate(symbols):
         if s in define:
-            ok &= F.coalesce(define[s](lambda c, offset, i=i: column(c, i + offset)), F.lit(False))
+            ok &= F.coalesce(F.expr(texts[s]) if s in texts else define[s](lambda c, offset, i=i: column(c, i + offset)), F.lit(False))
     values = {name: column(c, symbols.index(s)) for name, (s, c) in measures.items()}
     out = df.withColumns({**{f"__m_{k}": v for k, v in values.items()}, "__rn": F.row_number().over(w), "__ok": ok}).where("__ok")
     if n > 1:

@@ -14,34 +14,33 @@ def repeat_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distin
     """seed, and step(rows of the last round) again and again until a round leaves no new row.
 
     distinct (UNION): duplicates and rows that were there before are dropped, nulls being equal; otherwise (UNION ALL) all
-    rows stay. limit is the most rounds after the seed: 0 the seed only, negative no limit. Each round is a table
-    in the shared folder, so plans stay short and a lost executor costs one round. The driver sees whether a round has rows.
+    rows stay. limit is the most rounds after the seed: 0 the seed only, negative no limit. Each round is a folder of one
+    table in the shared folder, which one anti-join looks into: plans stay short and a lost executor costs one round. The driver sees whether a round has rows.
     """
-    names = seed.columns
+    names, spark = seed.columns, seed.sparkSession
     delta = cut(seed.distinct() if distinct else seed)
-    rounds, done = [delta], 0
+    paths, done = list(_folders(delta)), 0
+    seen = lambda: spark.read.schema(delta.schema).parquet(*paths)
     while limit < 0 or done < limit:
         new = step(delta).toDF(*names)
         if distinct:
-            new = new.distinct()
-            for i, seen in enumerate(rounds):
-                old = seen.select([F.col(c).alias(f"__{i}_{c}") for c in names])
-                same = F.lit(True)
-                for c in names:
-                    same &= new[c].eqNullSafe(old[f"__{i}_{c}"])
-                new = new.join(old, same, "left_anti")
-        delta = cut(new)
-        if delta.isEmpty():
+            old = seen().select([F.col(c).alias(f"__{c}") for c in names])
+            new = new.distinct().join(old, _same(names), "left_anti")
+        found = cut(new)
+        if found.isEmpty():
             break
-        rounds.append(delta)
+        delta = found.select([F.col(f.name).cast(f.dataType) for f in seed.schema.fields]) if found.schema != seed.schema else found
+        paths += _folders(delta)
         done += 1
-        if distinct and len(rounds) % 8 == 0:  # keep the number of tables to look in small
-            rounds = [cut(_union(rounds))]
-    return _union(rounds)
+    return seen()
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _same(names: list[str]):
+    test = F.lit(True)
+    for c in names:
+        test &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return test
+
+
+def _folders(df: DataFrame) -> list[str]:
+    return sorted({x.rpartition("/")[0] for x in df.inputFiles()})

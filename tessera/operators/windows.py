@@ -8,60 +8,86 @@ from pyspark.sql import functions as F
 NO_OTHERS, CURRENT_ROW, GROUP, TIES = "no others", "current row", "group", "ties"
 
 
-def _sum_type(df: DataFrame, value: str):
-    return df.select(F.sum(value).alias("x")).schema["x"].dataType
-
-
 def exclude_window(df: DataFrame, partition: list[str], order: list[Column], value: str, aggregates: dict[str, str], exclude: str, start: int | None = None, end: int | None = 0, tie: list[str] | None = None) -> DataFrame:
     """df with aggregates (name: sum, count, avg, min or max of value) over a ROWS frame, less what `exclude` names.
 
     start and end are row offsets (negative before, None unbounded). Peers are rows equal on `order`; `tie` orders them
     where frames must be definite.
 
-    Sum, count and avg come by subtraction: the frame's total less that of the excluded rows inside it: the row itself, or
-    the peers that lie in the frame, of which a list is held for each peer group. Min and max can't be subtracted and
-    hold the frame's rows: their memory grows with the frame.
+    What is left of a frame lies on either side of the excluded rows, and each side is a frame of Spark's own where it is unbounded: up to
+    the row or after it, or, by the rank that peers share, up to the peer group or after it. Only a side of the group with
+    a bounded offset is an array, of that many rows at most. So memory and time don't grow with the partition's frames.
     """
     if exclude not in (NO_OTHERS, CURRENT_ROW, GROUP, TIES):
         raise ValueError(f"unknown exclusion {exclude!r}")
     full = [*order, *(F.col(c) for c in tie or [])]
     rows = Window.partitionBy(*partition).orderBy(*full)
     peers = Window.partitionBy(*partition).orderBy(*order)
-    low = Window.unboundedPreceding if start is None else start
-    high = Window.unboundedFollowing if end is None else end
+    groups = Window.partitionBy(*partition).orderBy("__first")
     out = df.withColumns({"__rn": F.row_number().over(rows), "__first": F.rank().over(peers)})
-    out = out.withColumn("__last", F.max("__rn").over(Window.partitionBy(*partition, "__first")))
-    frame_low = F.lit(-(1 << 60)) if start is None else F.col("__rn") + start
-    frame_high = F.lit(1 << 60) if end is None else F.col("__rn") + end
-    inside = (F.col("__rn") >= frame_low) & (F.col("__rn") <= frame_high)
-    one = F.when(inside, F.col(value))
-    cut_low, cut_high = F.greatest(F.col("__first"), frame_low), F.least(F.col("__last"), frame_high)
-    total_sum, total_count = F.sum(value).over(rows.rowsBetween(low, high)), F.count(value).over(rows.rowsBetween(low, high))
+    v, low, high = F.col(value), Window.unboundedPreceding, Window.unboundedFollowing
+    own_in = (start is None or start <= 0) and (end is None or end >= 0)
+    sides: list[tuple[Column | None, object]] = []  # (condition, window or array of values)
     if exclude == NO_OTHERS:
-        less_sum, less_count = F.lit(0), F.lit(0)
+        sides.append((None, rows.rowsBetween(low if start is None else start, high if end is None else end)))
     elif exclude == CURRENT_ROW:
-        less_sum, less_count = F.coalesce(one, F.lit(0)), F.when(one.isNull(), 0).otherwise(1)
+        if start is None or start < 0:
+            sides.append((None, rows.rowsBetween(low if start is None else start, -1 if end is None else min(end, -1))))
+        if end is None or end > 0:
+            sides.append((None, rows.rowsBetween(1 if start is None else max(start, 1), high if end is None else end)))
     else:
-        out = out.withColumn("__peers", F.collect_list(F.struct("__rn", F.col(value).alias("v"))).over(Window.partitionBy(*partition, "__first")))
-        within = F.filter("__peers", lambda p: (p["__rn"] >= cut_low) & (p["__rn"] <= cut_high))
-        less_sum = F.aggregate(within, F.lit(0).cast(_sum_type(df, value)), lambda a, p: (a + F.coalesce(p["v"], F.lit(0))).cast(_sum_type(df, value)))
-        less_count = F.size(F.filter(within, lambda p: p["v"].isNotNull()))
-        if exclude == TIES:
-            less_sum, less_count = less_sum - F.coalesce(one, F.lit(0)), less_count - F.when(one.isNull(), 0).otherwise(1)
+        out = out.withColumn("__last", F.max("__rn").over(Window.partitionBy(*partition, "__first")))
+        held = lambda a, b: F.transform(F.filter(F.collect_list(F.struct(F.col("__first").alias("p"), v.alias("v"))).over(rows.rowsBetween(a, b)), lambda x: x["p"] != F.col("__first")), lambda x: x["v"])
+        if start is None:
+            before_group = None if end is None or end >= 0 else F.col("__rn") + end >= F.col("__first") - 1
+            sides.append((before_group, groups.rangeBetween(low, -1)))
+            if before_group is not None:  # the frame ends before the group does begin
+                sides.append((~before_group, rows.rowsBetween(low, end)))
+        elif start < 0:
+            sides.append((None, held(start, -1 if end is None else min(end, -1))))
+        if end is None:
+            after_group = None if start is None or start <= 0 else F.col("__rn") + start <= F.col("__last") + 1
+            sides.append((after_group, groups.rangeBetween(1, high)))
+            if after_group is not None:
+                sides.append((~after_group, rows.rowsBetween(start, high)))
+        elif end > 0:
+            sides.append((None, held(1 if start is None else max(start, 1), end)))
+    own = F.when(F.lit(exclude == TIES and own_in), v)
+
+    def parts(kind: str) -> list[Column]:
+        """One value for each side, null where it has none."""
+        found = []
+        for condition, side in sides:
+            if isinstance(side, Column):
+                known = F.filter(side, lambda x: x.isNotNull())
+                made = {"count": F.size(known).cast("long"), "min": F.array_min(known), "max": F.array_max(known)}
+                if kind == "sum":
+                    zero = F.lit(0).cast(df.select(F.sum(value).alias("x")).schema["x"].dataType)
+                    x = F.when(F.size(known) > 0, F.aggregate(known, zero, lambda a, y: (a + y).cast(df.select(F.sum(value).alias("x")).schema["x"].dataType)))
+                else:
+                    x = made[kind]
+            else:
+                x = getattr(F, kind)(v).over(side)
+            found.append(x if condition is None else F.when(condition, x))
+        return [*found, {"count": F.when(own.isNotNull(), 1).otherwise(0).cast("long")}.get(kind, own)]
+
+    def added(kind: str) -> Column:
+        total = None
+        for x in parts(kind):
+            x = F.coalesce(x, F.lit(0))
+            total = x if total is None else total + x
+        return total
+
     made = {}
     for name, kind in aggregates.items():
-        count = (total_count - less_count).cast("long")
         if kind == "count":
-            made[name] = count
+            made[name] = added("count").cast("long")
         elif kind == "sum":
-            made[name] = F.when(count > 0, F.coalesce(total_sum, F.lit(0)) - less_sum)
+            made[name] = F.when(added("count") > 0, added("sum"))
         elif kind == "avg":
-            made[name] = F.when(count > 0, (F.coalesce(total_sum, F.lit(0)) - less_sum) / count)
+            made[name] = F.when(added("count") > 0, added("sum") / added("count"))
         elif kind in ("min", "max"):
-            every = F.collect_list(F.struct(F.col("__rn").alias("rn"), F.col("__first").alias("peer"), F.col(value).alias("v"))).over(rows.rowsBetween(low, high))
-            me, mine = F.col("__rn"), F.col("__first")
-            stay = {NO_OTHERS: lambda p: F.lit(True), CURRENT_ROW: lambda p: p["rn"] != me, GROUP: lambda p: p["peer"] != mine, TIES: lambda p: (p["peer"] != mine) | (p["rn"] == me)}[exclude]
-            made[name] = (F.array_min if kind == "min" else F.array_max)(F.transform(F.filter(every, stay), lambda p: p["v"]))
+            made[name] = (F.least if kind == "min" else F.greatest)(*parts(kind), F.lit(None).cast(df.schema[value].dataType))
         else:
             raise ValueError(f"unknown aggregate {kind!r}")
     return out.withColumns(made).select(*df.columns, *made)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.plans.lineage import shared_dir
+from tessera.plans.lineage import own_dir
 
 
 class FileTable:
@@ -17,7 +17,7 @@ class FileTable:
 
     def __init__(self, spark: SparkSession, name: str, schema: T.StructType):
         self.spark, self.name, self.schema = spark, name, schema
-        self.base = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+        self.base = f"{own_dir(spark)}/tables/{uuid.uuid4().hex}"
         self.parts: list[str] = []
         self._show()
 

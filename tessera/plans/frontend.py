@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from tessera.plans import rewrites
+
 _TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)|(?P<word>[A-Za-z_][A-Za-z0-9_$]*)|(?P<number>\d+(?:\.\d+)?)|(?P<other><=|>=|<>|!=|\|\||.)""", re.S)
 _END_OF_ORDER = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "GROUPS", "UNION", "INTERSECT", "EXCEPT", "MINUS", ";"}
 
@@ -46,6 +48,14 @@ def _is(t: list[str], i: int, *words: str) -> bool:
     return [x.upper() for x in t[i : i + len(words)]] == list(words)
 
 
+#: Times of the statement without a zone, with a precision of so many digits of a second.
+_NOW = {"LOCALTIMESTAMP": "localtimestamp()", "LOCALTIME": "current_time({digits})", "CURRENT_TIME": "current_time({digits})"}
+
+
+def _cut_to(digits: int) -> str:
+    return f"CAST(date_format(localtimestamp(), 'yyyy-MM-dd HH:mm:ss{'.' + 'S' * digits if digits else ''}') AS TIMESTAMP_NTZ)"
+
+
 def _literals(t: list[str]) -> list[str]:
     """ARRAY[..] and MULTISET[..] as array(..), names of functions as Spark has them."""
     out, i = [], 0
@@ -57,8 +67,12 @@ def _literals(t: list[str]) -> list[str]:
             continue
         if t[i].upper() == "ROW" and i + 1 < len(t) and t[i + 1] == "(":
             out.append("struct")
-        elif t[i].upper() in ("LOCALTIMESTAMP",) and not (i + 1 < len(t) and t[i + 1] == "("):
-            out += ["localtimestamp", "(", ")"]
+        elif t[i].upper() in _NOW:
+            name, digits = t[i].upper(), None
+            if i + 1 < len(t) and t[i + 1] == "(":
+                j = _closing(t, i + 1)
+                digits, i = (t[i + 2 : j] or [None])[0], j
+            out.append(_cut_to(int(digits)) if digits and name == "LOCALTIMESTAMP" else _NOW[name].format(digits=digits or 6))
         else:
             out.append(t[i])
         i += 1
@@ -73,11 +87,12 @@ def _json(t: list[str]) -> list[str]:
             j = _closing(t, i + 1)
             doc, path = _split(t[i + 2 : j])
             where = re.sub(r"^'(lax|strict) ", "'", path[0])
-            got = ["get_json_object", "(", *_json(doc), ",", where, ")"]
+            at = ["try_variant_get", "(", "try_parse_json", "(", *_json(doc), ")", ",", where, ",", "'variant'", ")"]
             if name == "JSON_EXISTS":
-                out += ["(", "try_variant_get", "(", "try_parse_json", "(", *_json(doc), ")", ",", where, ",", "'variant'", ")", "IS", "NOT", "NULL", ")"]
-            else:
-                out += ["(", "CASE", "WHEN", *(["NOT"] if name == "JSON_VALUE" else []), "(", *got, "RLIKE", "'^[ \\\\t]*[\\\\[{]'", ")", "THEN", *got, "END", ")"]
+                out += ["(", *at, "IS", "NOT", "NULL", ")"]
+            else:  # by what the value is, not by how its text begins
+                test = ["schema_of_variant", "(", *at, ")", *(["NOT"] if name == "JSON_VALUE" else []), "RLIKE", "'^(OBJECT|ARRAY)'"]
+                out += ["(", "CASE", "WHEN", *test, "THEN", "get_json_object", "(", *_json(doc), ",", where, ")", "END", ")"]
             i = j + 1
             continue
         out.append(t[i])
@@ -198,7 +213,8 @@ def _unnest(t: list[str]) -> list[str]:
 
 
 def _asof(t: list[str]) -> list[str]:
-    """l ASOF JOIN r b MATCH_CONDITION b.x <= l.y ON k: the nearest row in a lateral sub-query."""
+    """l ASOF JOIN r b MATCH_CONDITION b.x <= l.y ON k: the nearest row in a lateral sub-query, of equally near ones always the same. It joins on the
+    key first; the session uses asof_join where it can."""
     out, i = [], 0
     while i < len(t):
         if _is(t, i, "ASOF", "JOIN"):
@@ -218,7 +234,7 @@ def _asof(t: list[str]) -> list[str]:
             a, b = match[:sign], match[sign + 1 :]
             own, op = (a, match[sign]) if a[0].strip("`").upper() == alias.strip("`").upper() else (b, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[match[sign]])
             order = "DESC" if op[0] == "<" else "ASC"
-            out += ["LEFT" if left else "INNER", "JOIN", "LATERAL", "(", "SELECT", "*", "FROM", *source, alias, "WHERE", *match, "AND", *t[on + 1 : end], "ORDER", "BY", *own, order, "LIMIT", "1", ")", alias, "ON", "TRUE"]
+            out += ["LEFT" if left else "INNER", "JOIN", "LATERAL", "(", "SELECT", "*", "EXCEPT", "(", "__tie", ")", "FROM", "(", "SELECT", "*", ",", "xxhash64(*)", "AS", "__tie", "FROM", *source, ")", alias, "WHERE", *match, "AND", *t[on + 1 : end], "ORDER", "BY", *own, order, ",", "__tie", "LIMIT", "1", ")", alias, "ON", "TRUE"]
             i = end
             continue
         out.append(t[i])
@@ -259,17 +275,26 @@ def _orders(t: list[str], nulls_high: bool) -> list[str]:
 
 
 def _pages(t: list[str]) -> list[str]:
-    """OFFSET n ROWS FETCH NEXT m ROWS ONLY as LIMIT m OFFSET n."""
-    out, i, offset = [], 0, None
+    """OFFSET n ROWS FETCH NEXT m ROWS ONLY as LIMIT m OFFSET n. An offset belongs to the query of its own brackets, and to one FETCH."""
+    out: list[str] = []
+    offsets: list[str | None] = [None]
+    i = 0
     while i < len(t):
+        if t[i] == "(":
+            offsets.append(None)
+        elif t[i] == ")" and len(offsets) > 1:
+            offsets.pop()
         if t[i].upper() == "OFFSET" and i + 2 < len(t) and t[i + 2].upper() in ("ROW", "ROWS"):
             offset = t[i + 1]
             i += 3
-            if not _is(t, i, "FETCH"):
+            if _is(t, i, "FETCH"):
+                offsets[-1] = offset
+            else:
                 out += ["OFFSET", offset]
             continue
         if t[i].upper() == "FETCH" and i + 4 < len(t) and t[i + 1].upper() in ("FIRST", "NEXT"):
-            out += ["LIMIT", t[i + 2], *(["OFFSET", offset] if offset is not None else [])]
+            out += ["LIMIT", t[i + 2], *(["OFFSET", offsets[-1]] if offsets[-1] is not None else [])]
+            offsets[-1] = None
             i += 5
             continue
         out.append(t[i])
@@ -277,15 +302,14 @@ def _pages(t: list[str]) -> list[str]:
     return out
 
 
-def translate(sql: str, nulls_high: bool = True) -> str:
-    """sql for Spark. What has no counterpart in its SQL is refused with the name of the operator to use."""
-    t = tokens(sql)
-    upper = [x.upper() for x in t]
-    if "EXCLUDE" in upper:
-        raise NotImplementedError("EXCLUDE in a window frame: use tessera.operators.windows.exclude_window")
-    if "MATCH_RECOGNIZE" in upper:
-        raise NotImplementedError("MATCH_RECOGNIZE: use tessera.operators.match.match_sequence")
-    for step in (_literals, _casts, _json, _window_tables, _unnest, _asof, _pages):
+def translate(sql: str | list[str], nulls_high: bool = True, measures: dict[str, list[str]] | None = None) -> str:
+    """sql (or its tokens) for Spark. What changes more than the text at hand (MATCH_RECOGNIZE, WITH RECURSIVE .. UNION, EXCLUDE) the session does before."""
+    t = tokens(sql) if isinstance(sql, str) else sql
+    for word, operator in (("MATCH_RECOGNIZE", "match.match_sequence"), ("EXCLUDE", "windows.exclude_window")):
+        if word in (x.upper() for x in t):
+            raise NotImplementedError(f"{word} as text alone: use a session, or tessera.operators.{operator}")
+    t = rewrites.measures(t, {} if measures is None else measures)
+    for step in (rewrites.collections, _literals, rewrites.projected_in, _casts, _json, _window_tables, _unnest, _asof, _pages):
         t = step(t)
     t = _orders(t, nulls_high)
     return " ".join(t).replace(" . ", ".").replace(" .*", ".*")

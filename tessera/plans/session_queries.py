@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans.lineage import shared_dir
+from tessera.plans.lineage import own_dir
 from tessera.session import Engine
 from tessera.sources import readers
 from tessera.streaming import windows
@@ -83,7 +83,7 @@ def _parameters(spark, sf_dir):
 
 @query("csv_source", "SELECT r_regionkey AS k, r_name AS name FROM region")
 def _csv(spark, sf_dir):
-    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/csv/{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey AS k", "r_name AS name").write.option("header", True).csv(path)
     return readers.csv(spark, path, "k int, name string")
 
@@ -97,9 +97,8 @@ def _python(spark, sf_dir):
 def _stream(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.rpartition("/")[0] + "/events.parquet*")
-    name = f"stream_{uuid.uuid4().hex[:8]}"
+    base = f"{own_dir(spark)}/stream_{uuid.uuid4().hex[:8]}"
     counted = windows.windowed_counts(stream.withColumn("ts", stream.ts.cast("timestamp")), "ts", "1 day", ["event_type"], "1 hour")
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream/{name}").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "event_type", "n")
+    keys = ["window_start", "event_type"]
+    windows.upserted(counted, keys, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return windows.latest(spark.read.parquet(f"{base}/table"), keys).selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "event_type", "n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def tumble(df: DataFrame, time: str, size: str, offset: str | None = None) -> DataFrame:
@@ -40,3 +41,20 @@ def windowed_counts(stream: DataFrame, time: str, size: str, keys: list[str], la
     """Counts per tumbling window and keys of a stream (or a table), with rows later than `late` dropped from streams."""
     rows = stream.withWatermark(time, late) if stream.isStreaming else stream
     return rows.groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
+
+
+def upserted(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream of aggregates whose changed rows are appended to a table with the number of their batch. Each batch brings only what it
+    changed, written by the executors; a batch that is run again after a failure replaces its own folder."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key in a table that upserted() wrote."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last"))
+    return last.select(*keys, *(F.col(f"__last.{c}").alias(c) for c in rest))
