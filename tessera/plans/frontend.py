@@ -6,7 +6,7 @@ import re
 
 from tessera.plans import rewrites
 
-_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)|(?P<word>[A-Za-z_][A-Za-z0-9_$]*)|(?P<number>\d+(?:\.\d+)?)|(?P<other><=|>=|<>|!=|\|\||.)""", re.S)
+_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)|(?P<word>[A-Za-z_][A-Za-z0-9_$]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<other><=|>=|<>|!=|\|\||.)""", re.S)
 _END_OF_ORDER = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "GROUPS", "UNION", "INTERSECT", "EXCEPT", "MINUS", ";"}
 
 
@@ -95,6 +95,14 @@ def _json(t: list[str]) -> list[str]:
                 out += ["(", "CASE", "WHEN", *test, "THEN", "get_json_object", "(", *_json(doc), ",", where, ")", "END", ")"]
             i = j + 1
             continue
+        if name == "JSON_ARRAYAGG" and i + 1 < len(t) and t[i + 1] == "(":
+            j = _closing(t, i + 1)
+            inner = t[i + 2 : j]
+            order = next((k for k in range(len(inner) - 1) if _is(inner, k, "ORDER", "BY")), len(inner))
+            value, keys = inner[:order], inner[order + 2 :] or inner[:order]
+            out += ["to_json", "(", "transform", "(", "array_sort", "(", "collect_list", "(", "CASE", "WHEN", *value, "IS", "NOT", "NULL", "THEN", "struct", "(", "struct", "(", *keys, ")", ",", *value, "AS", "v", ")", "END", ")", ")", ",", "e -> e.v", ")", ")"]
+            i = j + 1
+            continue
         out.append(t[i])
         i += 1
     return out

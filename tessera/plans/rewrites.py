@@ -467,3 +467,67 @@ def measures(t: list[str], known: dict[str, list[str]]) -> list[str]:
         out.append(t[i])
         i += 1
     return out
+
+
+# ---- EXISTS in EXISTS
+
+
+def _body(t: list[str]) -> tuple[list[str], list[str]] | None:
+    """FROM and WHERE of a plain SELECT; None where it has other clauses."""
+    depth, places = 0, {}
+    for i, x in enumerate(t):
+        depth += (x in ("(", "[")) - (x in (")", "]"))
+        word = x.upper()
+        if depth == 0 and word in ("FROM", "WHERE"):
+            places.setdefault(word, i)
+        elif depth == 0 and (word in ("GROUP", "HAVING", "UNION", "INTERSECT", "EXCEPT", "LIMIT", "OFFSET", "FETCH", "LATERAL") or (word == "SELECT" and i)):
+            return None
+    if up(t, 0) != "SELECT" or "FROM" not in places or "WHERE" not in places:
+        return None
+    return t[places["FROM"] + 1 : places["WHERE"]], t[places["WHERE"] + 1 :]
+
+
+def conjuncts(t: list[str]) -> list[list[str]]:
+    """Parts between ANDs outside brackets, BETWEEN and CASE."""
+    out: list[list[str]] = [[]]
+    depth = between = case = 0
+    for x in t:
+        depth += (x in ("(", "[")) - (x in (")", "]"))
+        word = x.upper()
+        case += (word == "CASE") - (word == "END")
+        if depth == 0 and word == "BETWEEN":
+            between += 1
+        if depth == 0 and case == 0 and word == "AND":
+            if between:
+                between -= 1
+            else:
+                out.append([])
+                continue
+        out[-1].append(x)
+    return out
+
+
+def flat_exists(t: list[str]) -> list[str]:
+    """EXISTS (.. FROM a WHERE p AND EXISTS (.. FROM b WHERE q)) as EXISTS (.. FROM a, b WHERE p AND q), which has no reference over two levels."""
+    out: list[str] = []
+    i = 0
+    while i < len(t):
+        if t[i].upper() == "EXISTS" and i + 1 < len(t) and t[i + 1] == "(":
+            j = closing(t, i + 1)
+            inner = flat_exists(t[i + 2 : j])
+            own = _body(inner)
+            if own is not None:
+                source, tests = own[0], []
+                for part in conjuncts(own[1]):
+                    found = _body(part[2:-1]) if up(part, 0) == "EXISTS" and part[1:2] == ["("] and closing(part, 1) == len(part) - 1 else None
+                    if found is None:
+                        tests.append(part)
+                    else:
+                        source, tests = [*source, ",", *found[0]], [*tests, ["(", *found[1], ")"]]
+                inner = ["SELECT", "1", "FROM", *source, "WHERE", *(x for k, part in enumerate(tests) for x in ((["AND"] if k else []) + part))]
+            out += ["EXISTS", "(", *inner, ")"]
+            i = j + 1
+            continue
+        out.append(t[i])
+        i += 1
+    return out

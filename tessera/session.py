@@ -88,6 +88,12 @@ class Engine:
         run = lambda text: self.spark.sql(text, args=args) if args else self.spark.sql(text)
         shown = rewrites.measures(t, self.measures)
         text = translate(shown, high, self.measures)
+        if [x.upper() for x in shown].count("EXISTS") > 1:
+            try:
+                run(text)
+            except AnalysisException:  # Spark has no references over two levels
+                shown = rewrites.flat_exists(shown)
+                text = translate(shown, high, self.measures)
         if any(x == "/" or x.upper() in ("AVG", "SUM") for x in shown):
             t = rewrites.integer_arithmetic(shown, lambda marked: run(translate(marked, high, self.measures)))
             text = translate(_again(t), high, self.measures)
@@ -170,14 +176,17 @@ class Engine:
         """x MATCH_RECOGNIZE (PARTITION BY .. ORDER BY .. MEASURES .. PATTERN (A B ..) DEFINE ..) by match_sequence."""
         i = next(k for k, x in enumerate(t) if x.upper() == "MATCH_RECOGNIZE")
         j = _closing(t, i + 1)
-        start = rewrites.before(t, i)
+        start, depth = i, 0
+        while start and not (depth == 0 and t[start - 1].upper() in ("FROM", "JOIN", ",")):
+            start -= 1
+            depth += (t[start] == ")") - (t[start] == "(")
         parts = _parts(t[i + 2 : j])
         rows = self._query(["SELECT", "*", "FROM", *t[start:i]], args)
         pattern = [x.strip("`") for x in parts["PATTERN"][1:-1]]
         if any(not x[0].isalpha() and x[0] != "_" for x in pattern):
             raise NotImplementedError("a pattern of more than symbols one after the other")
-        if "ALL" in parts.get("ROWS", []) or (parts.get("AFTER") or ["", "PAST"])[1].upper() not in ("PAST",):
-            raise NotImplementedError("MATCH_RECOGNIZE other than ONE ROW PER MATCH, AFTER MATCH SKIP PAST LAST ROW")
+        if [x.upper() for x in parts.get("AFTER", [])] not in ([], ["MATCH", "SKIP", "PAST", "LAST", "ROW"]):
+            raise NotImplementedError("MATCH_RECOGNIZE other than AFTER MATCH SKIP PAST LAST ROW")
         keys = [k[-1].strip("`") for k in _split(parts.get("PARTITION", []))] if parts.get("PARTITION") else []
         order = [F.expr(translate(o)) if o[-1].upper() not in ("ASC", "DESC") else getattr(F.expr(translate(o[:-1])), o[-1].lower())() for o in _split(parts["ORDER"])]
         measures = {}
@@ -477,14 +486,14 @@ def _parts(t: list[str]) -> dict[str, list[str]]:
         x = t[i].upper()
         if depth == 0 and x in heads and not (x in ("ONE", "ALL") and now == "DEFINE"):
             now = "ROWS" if x in ("ONE", "ALL") else x
+            if x == "ALL":
+                raise NotImplementedError("ALL ROWS PER MATCH")
             out[now] = []
             i += heads[x]
             continue
         depth += (x == "(") - (x == ")")
-        out[now].append(x if now in ("ROWS",) else t[i])
+        out[now].append(t[i])
         i += 1
-    if "ROWS" in out and out["ROWS"][:1] == ["ALL"]:
-        raise NotImplementedError("ALL ROWS PER MATCH")
     return out
 
 

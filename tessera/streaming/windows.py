@@ -43,7 +43,7 @@ def windowed_counts(stream: DataFrame, time: str, size: str, keys: list[str], la
     return rows.groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
-def upserted(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def upserted(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Start a stream of aggregates whose changed rows are appended to a table with the number of their batch. Each batch brings only what it
     changed, written by the executors; a batch that is run again after a failure replaces its own folder."""
 
