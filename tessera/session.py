@@ -277,14 +277,16 @@ class Engine:
 
     def rows(self, sql: str, args: list | None = None) -> Iterator[Row]:
         """Rows as they come, a partition at a time; cancel() from elsewhere stops them."""
-        self.spark.addTag(self.tag)
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)  # a property of the jobs, which the iterator's own thread inherits
         try:
             yield from self.execute(sql, args).toLocalIterator(prefetchPartitions=True)
         finally:
-            self.spark.removeTag(self.tag)
+            context.removeJobTag(self.tag)
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.tag)
+        """Stop the jobs of all reads that rows() has begun; who reads gets an error."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def batch(self, statements: list[str]) -> list[DataFrame]:
         """Results of the statements, run one after the other."""

@@ -1,6 +1,7 @@
 """Contracts of single operators that the queries don't reach."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,13 +9,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
+from tessera.functions.udf import aggregate_by
 from tessera.operators import collections, dynamic
-from tessera.operators.combine import combine
-from tessera.operators.joins import asof_join, mark_join
+from tessera.operators.combine import combine, numbered
+from tessera.operators.joins import asof_join, mark_join, range_join
 from tessera.operators.match import match_sequence
 from tessera.operators.recursion import repeat_union
 from tessera.operators.setops import merge_union
 from tessera.operators.windows import CURRENT_ROW, GROUP, NO_OTHERS, TIES, exclude_window
+from tessera.plans import lineage
 from tessera.streaming import windows
 
 SALES = [(1, "EAST", 10, "A"), (2, "EAST", 20, "B"), (3, "EAST", 20, "C"), (4, "WEST", 30, "D"), (5, "WEST", None, "E"), (6, "WEST", 5, "F")]
@@ -177,3 +180,77 @@ def test_scalars(spark):
     assert d.select(scalars.unsigned(F.lit(255), 8), scalars.unsigned(F.lit(str(2**64 - 1)), 64)).first()[0] == 255
     with pytest.raises(Exception, match="out of range"):
         d.select(scalars.unsigned(F.lit(256), 8)).collect()
+
+
+@pytest.mark.parametrize("kind", [NO_OTHERS, CURRENT_ROW, GROUP, TIES])
+@pytest.mark.parametrize("frame", [(None, -2), (None, 3), (2, None), (-3, None), (-2, -1), (0, 0), (-4, 4)])
+def test_exclusions_of_any_frame(spark, kind, frame):
+    r = random.Random(3)
+    data = [(i, i % 2, r.choice([None, 1, 1, 2, 3, 3, 3, 5]), r.choice([None, *range(9)])) for i in range(30)]
+    df = spark.createDataFrame(data, "id int, p int, o int, v int")
+    out = exclude_window(df, ["p"], [F.col("o").asc_nulls_last()], "v", {"s": "sum", "n": "count", "a": "avg", "low": "min", "high": "max"}, kind, *frame, ["id"])
+    got = {x["id"]: tuple(x)[4:] for x in out.collect()}
+    for p in (0, 1):
+        part = sorted((x for x in data if x[1] == p), key=lambda x: (x[2] is None, x[2] or 0, x[0]))
+        for i, me in enumerate(part):
+            inside = [x for j, x in enumerate(part) if (frame[0] is None or j >= i + frame[0]) and (frame[1] is None or j <= i + frame[1])]
+            inside = [x for x in inside if {NO_OTHERS: True, CURRENT_ROW: x is not me, GROUP: x[2] != me[2], TIES: x[2] != me[2] or x is me}[kind]]
+            v = [x[3] for x in inside if x[3] is not None]
+            assert got[me[0]] == ((sum(v), len(v), sum(v) / len(v), min(v), max(v)) if v else (None, 0, None, None, None)), (me, kind, frame)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("width", [None, 0.5, 1000.0])
+def test_range_join(spark, how, width):
+    r = random.Random(4)
+    left = [(i, r.choice([None, 0, 1]), r.choice([None, *[x / 2 for x in range(-10, 60)]])) for i in range(60)]
+    right = [(i, r.choice([None, 0, 1]), float(a), a + r.choice([-1.0, 0.0, 0.5, 3.0, 40.0])) for i, a in enumerate(r.choices(range(-9, 30), k=40))] + [(99, 0, None, 4.0), (98, 0, 1.0, None)]
+    lf, rf = spark.createDataFrame(left, "i int, k int, x double"), spark.createDataFrame(right, "j int, k int, low double, high double")
+    got = range_join(lf, rf, "x", "low", "high", [("k", "k")], width, how).select("i", "j")
+    want = []
+    for i, k, x in left:
+        hits = [j for j, k2, a, b in right if k is not None and k == k2 and x is not None and a is not None and b is not None and a <= x < b]
+        want += [(i, j) for j in hits] or ([(i, None)] if how == "left" else [])
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_numbering_many_ranges(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"))
+    assert [(x["v"], x["place"]) for x in numbered(df, [F.col("v").desc()]).orderBy("place").collect()] == [(999 - i, i + 1) for i in range(1000)]
+    assert numbered(df.limit(0), ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("merge", [None, lambda a, b: (a[0] + b[0], max(a[1], b[1]))])
+def test_folds_of_many_groups(spark, merge):
+    r = random.Random(5)
+    data = [(r.choice([None, "a", "b", *map(str, range(50))]), r.choice([None, *range(100)])) for _ in range(3000)] + [("hot", 1)] * 3000
+    df = spark.createDataFrame(data, "k string, v int").repartition(5)
+    add = lambda s, v: (s[0] + 1, max(s[1], v or 0))
+    out = aggregate_by(df, ["k"], "v", "r", lambda: (0, 0), add, lambda s: f"{s[0]}/{s[1]}", "string", merge)
+    want = {}
+    for k, v in data:
+        want[k] = add(want.get(k, (0, 0)), v)
+    assert {x["k"]: x["r"] for x in out.collect()} == {k: f"{n}/{m}" for k, (n, m) in want.items()}
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="share"):
+        lineage.shared_dir(Session())
+
+
+def test_a_stream_is_written_by_batches(spark, tmp_path):
+    for k in range(3):
+        spark.sql(f"SELECT TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 20,0) AS ts, 'a' AS k FROM range({6 * (k + 1)})").write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    counted = windows.windowed_counts(stream, "ts", "1 hour", ["k"], "10 hours")
+    windows.upserted(counted, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert table.select("batch").distinct().count() > 1
+    assert [r["n"] for r in windows.latest(table, ["window_start", "k"]).orderBy("window_start").collect()] == [9, 9, 6, 6, 3, 3]
