@@ -6,7 +6,7 @@ import re
 
 from tessera.plans import rewrites
 
-_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)|(?P<word>[A-Za-z_][A-Za-z0-9_$]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<other><=|>=|<>|!=|\|\||.)""", re.S)
+_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)|(?P<word>[A-Za-z_][A-Za-z0-9_$]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<other><=>|->|<=|>=|<>|!=|\|\||.)""", re.S)
 _END_OF_ORDER = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "GROUPS", "UNION", "INTERSECT", "EXCEPT", "MINUS", ";"}
 
 

@@ -169,29 +169,29 @@ def projected_in(t: list[str], clause: str = "SELECT") -> list[str]:
 Decide = Callable[[str, str, str, str], str]
 
 
-def _arithmetic(t: list[str], decide: Decide) -> list[str]:
-    """t with each division, AVG and SUM as one token that decide(kind, left or argument, right, rest) gives."""
+def _arithmetic(t: list[str], decide: Decide, kinds: tuple[str, ...]) -> list[str]:
+    """t with each of kinds (division, AVG, SUM) as one token that decide(kind, left or argument, right, rest) gives."""
     out: list[str] = []
     i = 0
     while i < len(t):
-        if t[i] == "/" and out:
+        if t[i] == "/" and out and "/" in kinds:
             start = before(out, len(out))
             while start >= 2 and out[start - 1] in ("*", "%"):
                 start = before(out, start - 1)
             end = after(t, i + 1)
-            left, right = " ".join(out[start:]), " ".join(_arithmetic(t[i + 1 : end], decide))
+            left, right = " ".join(out[start:]), " ".join(_arithmetic(t[i + 1 : end], decide, kinds))
             out[start:] = [decide("/", left, right, "")]
             i = end
             continue
-        if t[i].upper() in ("AVG", "SUM") and i + 1 < len(t) and t[i + 1] == "(":
+        if t[i].upper() in kinds and t[i] != "/" and i + 1 < len(t) and t[i + 1] == "(":
             j = closing(t, i + 1)
             end = tail(t, j + 1)
             rest = t[j + 1 : end]
             if "EXCLUDE" not in (x.upper() for x in rest):
                 inner = t[i + 2 : j]
                 distinct = "DISTINCT" if inner and inner[0].upper() == "DISTINCT" else ""
-                argument = " ".join(_arithmetic(inner[bool(distinct) :], decide))
-                out.append(decide(t[i].upper(), argument, distinct, " ".join(_arithmetic(rest, decide))))
+                argument = " ".join(_arithmetic(inner[bool(distinct) :], decide, kinds))
+                out.append(decide(t[i].upper(), argument, distinct, " ".join(_arithmetic(rest, decide, kinds))))
                 i = end
                 continue
         out.append(t[i])
@@ -207,10 +207,18 @@ def integer_arithmetic(t: list[str], analyse: Callable[[str], DataFrame]) -> lis
     """Divisions of integers that cut towards zero, AVG and SUM of integers that are integers of the column's type.
 
     What the operands are only Spark's analyser knows: the query is analysed once with a mark at each place that tells their types
-    (nothing runs), and then written with `div` and casts where these are integers.
+    (nothing runs), and then written with `div` and casts where these are integers. Divisions come before and after the aggregates, as either may stand in
+    the other.
     """
-    if not any(x == "/" or x.upper() in ("AVG", "SUM") for x in t):
-        return t
+    from tessera.plans.frontend import tokens
+
+    for kinds in (("/",), ("AVG", "SUM"), ("/",)):
+        if any(x.upper() in kinds for x in t):
+            t = [x for part in _decided(t, analyse, kinds) for x in (tokens(part) if " " in part else [part])]
+    return t
+
+
+def _decided(t: list[str], analyse: Callable[[str], DataFrame], kinds: tuple[str, ...]) -> list[str]:
     wanted = set()
 
     def plain(kind: str, a: str, b: str, rest: str) -> str:
@@ -223,7 +231,7 @@ def integer_arithmetic(t: list[str], analyse: Callable[[str], DataFrame]) -> lis
             return f"if('{key}' = concat(typeof({a}), ':', typeof({b})), NULL, {plain(kind, a, b, rest)})"
         return f"{kind}({b} if('{key}' = concat(typeof({a}), ':', ''), NULL, {a})) {rest}".strip()
 
-    text = " ".join(_arithmetic(t, probe))
+    text = " ".join(_arithmetic(t, probe, kinds))
     types = _types(analyse(text), wanted)
 
     def chosen(kind: str, a: str, b: str, rest: str, known: str | None = None) -> str:
@@ -243,9 +251,9 @@ def integer_arithmetic(t: list[str], analyse: Callable[[str], DataFrame]) -> lis
         keys.append((a, b))
         return probe(kind, a, b, rest)
 
-    _arithmetic(t, note)
+    _arithmetic(t, note, kinds)
     order = iter(keys)
-    return _arithmetic(t, lambda kind, a, b, rest: chosen(kind, a, b, rest, next(order)))
+    return _arithmetic(t, lambda kind, a, b, rest: chosen(kind, a, b, rest, next(order)), kinds)
 
 
 def _types(df: DataFrame, wanted: set[str]) -> dict[str, list[str]]:
@@ -284,6 +292,8 @@ def excluded_frames(t: list[str]) -> list[str]:
     CURRENT ROW: the frame on either side of the row. GROUP and TIES over all rows up to the row, or of the partition: sums and counts less the peers'.
     Otherwise the frame's rows are held and the peers filtered out, so its length should be bounded.
     """
+    from tessera.plans.frontend import tokens
+
     out: list[str] = []
     i = 0
     while i < len(t):
@@ -295,7 +305,7 @@ def excluded_frames(t: list[str]) -> list[str]:
                 start = before(out, len(out))
                 call = out[start:]
                 del out[start:]
-                out.append(_excluded(call, inside, words))
+                out += tokens(_excluded(call, inside, words))
                 i = j + 1
                 continue
         out.append(t[i])

@@ -96,7 +96,7 @@ class Engine:
                 text = translate(shown, high, self.measures)
         if any(x == "/" or x.upper() in ("AVG", "SUM") for x in shown):
             t = rewrites.integer_arithmetic(shown, lambda marked: run(translate(marked, high, self.measures)))
-            text = translate(_again(t), high, self.measures)
+            text = translate(t, high, self.measures)
         self._tell("text", text)
         df = run(text)
         self._tell("plan", df)
@@ -435,11 +435,6 @@ def _type(words: list[str]) -> T.DataType:
     return T._parse_datatype_string(TYPES[kind])
 
 
-def _again(t: list[str]) -> list[str]:
-    """Tokens of a text of which some are already whole expressions."""
-    return [x for part in t for x in (tokens(part) if " " in part else [part])]
-
-
 def _approximate(t: list[str]) -> list[str]:
     """COUNT(DISTINCT x) as a sketch's estimate."""
     out, i = [], 0
@@ -481,7 +476,7 @@ _AFTER_TABLE = set("WHERE GROUP ORDER HAVING LIMIT OFFSET FETCH JOIN INNER LEFT
 
 def _parts(t: list[str]) -> dict[str, list[str]]:
     """Clauses of MATCH_RECOGNIZE by their first word."""
-    heads = {"PARTITION": 2, "ORDER": 2, "MEASURES": 1, "ONE": 0, "ALL": 0, "AFTER": 1, "PATTERN": 1, "DEFINE": 1}
+    heads = {"PARTITION": 2, "ORDER": 2, "MEASURES": 1, "ONE": 1, "ALL": 1, "AFTER": 1, "PATTERN": 1, "DEFINE": 1}
     out: dict[str, list[str]] = {}
     now, depth, i = None, 0, 0
     while i < len(t):
