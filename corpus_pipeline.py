@@ -24,17 +24,17 @@ def _back(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*(c if c in _OWN else f"__kept_{i}" for i, c in enumerate(like.columns))).toDF(*like.columns)
 
 
-#: How sure a prediction must be (as langid.identify scores it) to overrule a document's own label.
-SURE = 0.25
+#: How sure a prediction must be (as langid.identify scores it), and how many characters long the text, to overrule a document's own label.
+SURE, LONG = 0.25, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that their label doesn't belie. Those go whose text has none (`und`: no text, or no letter in it), and those
-    labelled with a learned language whose text is surely (SURE) in another one. A null or unknown label is no contradiction."""
+    labelled with a learned language whose text, not too short to tell (LONG), is surely (SURE) in another one. A null or unknown label is no contradiction."""
     languages = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     found = langid.identify(_safe(docs), languages)
     known = F.col("lang").isin(languages.names) if languages.names else F.lit(False)
-    wrong = F.coalesce(known & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
+    wrong = F.coalesce(known & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE) & (F.char_length("text") >= LONG), F.lit(False))
     return _back(found.where((F.col("lang_pred") != "und") & ~wrong), docs)
 
 
