@@ -24,7 +24,7 @@ from tessera.llm.ordermin import _BASE, _UNBASE, _powers, mixed
 _U = np.uint64
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text that are hashed at once, and bytes of segments that make one suffix array, about.
-STRETCH, SORTED = 1 << 21, 1 << 20
+STRETCH, SORTED = 1 << 20, 1 << 20
 #: Segments of one anchor, a batch's first ones, beyond which each of their strings is dealt by its own hash instead of the anchor.
 HOT = 4096
 #: Parts, by anchor, in which segments' texts are sent and sorted one after the other: each takes that much less disk.
@@ -51,13 +51,14 @@ def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     step = np.sign(np.diff(text.astype(np.int16), append=np.int16(-1)))
-    where = np.where(step != 0, np.arange(n), n)
+    where = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     rising = step[np.minimum.accumulate(where[::-1])[::-1]] > 0
+    del where, step
     ends = np.cumsum(np.bincount(text, minlength=256))
     begins = np.concatenate([[0], ends[:-1]])
-    direct = _sort_directly(text, np.flatnonzero(rising), depth)
+    direct = _sort_directly(text, np.flatnonzero(rising).astype(np.int32), depth)
     first_of = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=256))])
-    order = np.empty(n, dtype=np.int64)
+    order = np.empty(n, dtype=np.int32)
     front = begins.copy()
 
     def induce(done: np.ndarray) -> None:
@@ -142,7 +143,7 @@ def _by_key(k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return order, k[order]
     both = k << _U(own) | np.arange(len(k), dtype=_U)
     both.sort()
-    return (both & _U((1 << own) - 1)).astype(np.int64), both >> _U(own)
+    return (both & _U((1 << own) - 1)).astype(np.int32), both >> _U(own)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -207,8 +208,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
 def earlier(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of the strings of LENGTH bytes that begin at `at` in text, which are also those of a document smaller than their own."""
     order = two_stage_sort(text)
-    where = np.full(len(text), -1, dtype=np.int64)
-    where[at] = np.arange(len(at))
+    where = np.full(len(text), -1, dtype=np.int32)
+    where[at] = np.arange(len(at), dtype=np.int32)
     order = order[where[order] >= 0]
     owner = doc[where[order]]
     first = np.flatnonzero(common_prefixes(text, order, LENGTH) < LENGTH)
