@@ -463,14 +463,15 @@ def _sort(n: int):
             b = int(np.searchsorted(upto, upto[a] - length[a] + SORTED, side="right"))
             b = max(a + 1, min(b, len(doc)))
             b = int(np.searchsorted(route, route[b - 1], side="right"))
-            part = slice(a, b)
-            a = b
+            part, a0, a = slice(a, b), a, b
             chosen = text[_strings(begin[part], length[part])]
             at = _strings(np.cumsum(length[part]) - length[part], count[part])
             late = earlier(chosen, at, np.repeat(doc[part], count[part]))
-            ids, marks, places = np.repeat(doc[part], count[part])[late], np.repeat(mark[part], count[part])[late], _strings(start[part], count[part])[late]
-            if len(ids):
-                yield _rows(_by_document(REPEATS, n, ids, marks, places, np.ones(len(ids), np.int64)))
+            row, places = np.repeat(np.arange(a0, b), count[part])[late], _strings(start[part], count[part])[late]
+            if len(row):  # neighbouring strings of a text as one run
+                pairs, of = np.unique(np.stack([doc[row], mark[row]]), axis=1, return_inverse=True)
+                own, places, n_strings = _merged(of.ravel(), places, np.ones(len(row), np.int64))
+                yield _rows(_by_document(REPEATS, n, pairs[0][own], pairs[1][own], places, n_strings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
