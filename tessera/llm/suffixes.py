@@ -31,6 +31,8 @@ HOT = 4096
 PASSES = 2
 _PLACE = 22
 _POWERS: list[np.ndarray] = []
+#: Numbers of two bytes, three bytes, ... begin here.
+_BYTES = _U(1) << np.arange(8, 64, 8, dtype=_U)
 
 
 def _two_powers() -> list[np.ndarray]:
@@ -40,8 +42,20 @@ def _two_powers() -> list[np.ndarray]:
     return _POWERS
 
 
-def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
-    """Places of text's suffixes in order of their first `depth` bytes at least.
+def _words(text: np.ndarray, after: int) -> np.ndarray:
+    """The eight bytes from each place of text and of `after` bytes of zeros behind it, as numbers in the order of the bytes."""
+    n = len(text) + after
+    raw = np.zeros(n + 16, np.uint8)
+    raw[: len(text)] = text
+    out = np.empty(n, _U)
+    for k in range(min(8, n)):
+        out[k::8] = raw[k : k + (n - k + 7) // 8 * 8].view(">u8")
+    return out
+
+
+def two_stage_sort(text: np.ndarray, depth: int = 56, wanted: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
+    """Places of text's suffixes in order of their first `depth` bytes at least: of all, or of those that are marked in wanted and
+    the few that these are placed by. words: _words() of text and at least depth + 13 more, if at hand.
 
     Suffixes that are smaller than their successors are sorted directly. They end each first byte's bucket; a scan from the smallest
     up puts each other suffix, when its successor is reached, at the front of its own bucket. The scan goes by
@@ -54,16 +68,20 @@ def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
     where = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     rising = step[np.minimum.accumulate(where[::-1])[::-1]] > 0
     del where, step
-    ends = np.cumsum(np.bincount(text, minlength=256))
-    begins = np.concatenate([[0], ends[:-1]])
-    direct = _sort_directly(text, np.flatnonzero(rising).astype(np.int32), depth)
+    # what is asked for, and behind it all up to the next suffix that is sorted directly
+    needed = np.ones(n, bool) if wanted is None else _up_to(wanted, rising)
+    falling = needed & ~rising
+    sizes = np.bincount(text[needed], minlength=256)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    direct = _sort_directly(_words(text, depth + 13) if words is None else words, np.flatnonzero(needed & rising).astype(np.int32), depth)
     first_of = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=256))])
-    order = np.empty(n, dtype=np.int32)
+    order = np.empty(int(ends[-1]), dtype=np.int32)
     front = begins.copy()
 
     def induce(done: np.ndarray) -> None:
         before = done[done > 0] - 1
-        before = before[~rising[before]]
+        before = before[falling[before]]
         if not len(before):
             return
         byte = text[before]
@@ -74,7 +92,7 @@ def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
         np.add(front, count, out=front)
 
     induce(np.array([n]))
-    for c in range(256):
+    for c in np.flatnonzero(sizes).tolist():
         at = begins[c]
         while at < front[c]:
             upto = front[c]
@@ -86,15 +104,20 @@ def two_stage_sort(text: np.ndarray, depth: int = 56) -> np.ndarray:
     return order
 
 
-def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+def _up_to(wanted: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """wanted, and from each of these on all places to the first that is rising."""
+    place = np.arange(len(wanted), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(wanted, place, np.int32(-1)))
+    stop = np.maximum.accumulate(np.where(rising, place, np.int32(-1)))
+    return last > np.concatenate([np.array([-1], np.int32), stop[:-1]])
+
+
+def _sort_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """places in order of what stands there, five bytes a round. Only what is still tied goes on, unless all that is tied together is equal
     to the last byte, which is looked at after a few rounds: then any order of them is one."""
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth + 13, np.uint8)]), 8)
-    key = lambda at, level: np.ascontiguousarray(words[at + 5 * level]).view(">u8").ravel().astype(_U) >> _U(24)
-    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth + 8, np.uint8)]), -(-depth // 8) * 8)
     if not len(places):
         return places
-    k = key(places, 0)
+    k = words[places] >> _U(24)
     order, k = _by_key(k, 40)
     places = places[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -104,7 +127,7 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied & ~settled)
         if level in (3, 6) and len(at):
-            same = _equal(rows, places[at]) | new[at]
+            same = _equal(words, places[at], depth) | new[at]
             first = np.flatnonzero(new[at])
             whole = np.logical_and.reduceat(same, first)
             settled[at] = np.repeat(whole, np.diff(np.append(first, len(at))))
@@ -112,7 +135,7 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
         if not len(at):
             break
         group = np.cumsum(new[at])  # those of a group are neighbours: the first of each is marked
-        k = key(places[at], level)
+        k = words[places[at] + 5 * level] >> _U(24)
         by_key, ranked = _by_key(k, 40)
         rank = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
         bits = [int(x).bit_length() for x in (group[-1], rank[-1])]
@@ -125,12 +148,13 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return places
 
 
-def _equal(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether what stands at each place is what stands at the one before it in places."""
-    out = np.zeros(len(places), bool)
-    for a in range(0, len(places), 1 << 14):
-        some = rows[places[max(0, a - 1) : a + (1 << 14)]].view(np.uint64)
-        out[max(1, a) : a + (1 << 14)] = (some[1:] == some[:-1]).all(axis=1)
+def _equal(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Whether what stands at each place is, for depth bytes at least, what stands at the one before it in places."""
+    out = np.ones(len(places), bool)
+    out[0] = False
+    for a in range(0, depth, 8):
+        some = words[places + a]
+        out[1:] &= some[1:] == some[:-1]
     return out
 
 
@@ -146,15 +170,18 @@ def _by_key(k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (both & _U((1 << own) - 1)).astype(np.int32), both >> _U(own)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix of order shares with the one before it, `most` at most. text has most bytes after each."""
+def common_prefixes(words: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that each suffix of order shares with the one before it, `most` at most; words of a text that has most bytes after each."""
     out = np.zeros(len(order), dtype=np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(text, most)
-    for a in range(1, len(order), 1 << 15):
-        b = min(len(order), a + (1 << 15))
-        differ = rows[order[a:b]] != rows[order[a - 1 : b - 1]]
-        out[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
-    return out
+    same = np.ones(max(0, len(order) - 1), bool)
+    for a in range(0, most, 8):
+        some = words[order + a]
+        apart = some[1:] ^ some[:-1]
+        ends = np.flatnonzero(same & (apart != 0))
+        out[ends + 1] += 7 - np.searchsorted(_BYTES, apart[ends], side="right")
+        same &= apart == 0
+        out[1:] += 8 * same
+    return np.minimum(out, most)
 
 
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -207,12 +234,13 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def earlier(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of the strings of LENGTH bytes that begin at `at` in text, which are also those of a document smaller than their own."""
-    order = two_stage_sort(text)
     where = np.full(len(text), -1, dtype=np.int32)
     where[at] = np.arange(len(at), dtype=np.int32)
+    words = _words(text, 72)
+    order = two_stage_sort(text, wanted=where >= 0, words=words)
     order = order[where[order] >= 0]
     owner = doc[where[order]]
-    first = np.flatnonzero(common_prefixes(text, order, LENGTH) < LENGTH)
+    first = np.flatnonzero(common_prefixes(words, order, LENGTH) < LENGTH)
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order)))) if len(order) else owner
     out = np.zeros(len(at), dtype=bool)
     out[where[order]] = owner > least
@@ -271,6 +299,12 @@ def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _runs(of: np.ndarray, place: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some strings, by segment and place, those that begin a run of neighbours within a segment, and how many each run has."""
+    new = np.concatenate([[True], (np.diff(of[some]) != 0) | (np.diff(place[some]) != 1)]) if len(some) else np.zeros(0, bool)
+    return some[new], np.diff(np.append(np.flatnonzero(new), len(some)))
+
+
 def _late(ids: np.ndarray, texts: list[bytes], s: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Strings that a smaller document of the batch has too, as doc, start and n of runs; s is left with the others."""
     order = np.argsort(s["anchor"], kind="stable")
@@ -302,14 +336,12 @@ def _late(ids: np.ndarray, texts: list[bytes], s: dict[str, np.ndarray]) -> tupl
     late = earlier(text, _strings(np.cumsum(length) - length, run_n), np.repeat(ids[run_doc], run_n))
     # back to segments: what is left of each, in runs
     of, place = np.repeat(np.arange(len(at)), n), _strings(start, n)
-    stay = np.flatnonzero(~late)
-    new = np.concatenate([[True], (np.diff(of[stay]) != 0) | (np.diff(place[stay]) != 1)]) if len(stay) else np.zeros(0, bool)
-    head = stay[new]
-    left = {"doc": doc[of[head]], "start": place[head], "n": np.diff(np.append(np.flatnonzero(new), len(stay))), "anchor": anchor[of[head]]}
+    head, count = _runs(of, place, np.flatnonzero(~late))
+    left = {"doc": doc[of[head]], "start": place[head], "n": count, "anchor": anchor[of[head]]}
     for k in s:
         s[k] = np.concatenate([s[k][~several], left[k]])
-    gone = np.flatnonzero(late)
-    return _merged(doc[of[gone]], place[gone], np.ones(len(gone), np.int64))
+    head, count = _runs(of, place, np.flatnonzero(late))
+    return _merged(doc[of[head]], place[head], count)
 
 
 def _find(n: int):
@@ -467,11 +499,17 @@ def _sort(n: int):
             chosen = text[_strings(begin[part], length[part])]
             at = _strings(np.cumsum(length[part]) - length[part], count[part])
             late = earlier(chosen, at, np.repeat(doc[part], count[part]))
-            row, places = np.repeat(np.arange(a0, b), count[part])[late], _strings(start[part], count[part])[late]
-            if len(row):  # neighbouring strings of a text as one run
-                pairs, of = np.unique(np.stack([doc[row], mark[row]]), axis=1, return_inverse=True)
-                own, places, n_strings = _merged(of.ravel(), places, np.ones(len(row), np.int64))
-                yield _rows(_by_document(REPEATS, n, pairs[0][own], pairs[1][own], places, n_strings))
+            row, places = np.repeat(np.arange(a0, b), count[part]), _strings(start[part], count[part])
+            head, n_strings = _runs(row, places, np.flatnonzero(late))
+            if len(head):  # neighbouring strings of a text as one run
+                row, places = row[head], places[head]
+                by = np.lexsort((mark[row], doc[row]))
+                new = np.concatenate([[True], (np.diff(doc[row[by]]) != 0) | (np.diff(mark[row[by]]) != 0)])
+                of = np.empty(len(row), np.int64)
+                of[by] = np.cumsum(new) - 1
+                text_of = row[by[new]]
+                own, places, n_strings = _merged(of, places, n_strings)
+                yield _rows(_by_document(REPEATS, n, doc[text_of[own]], mark[text_of[own]], places, n_strings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None

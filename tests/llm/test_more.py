@@ -203,6 +203,41 @@ def test_only_suffix_arrays_tell_repeats(batches, monkeypatch):
     assert all(r[2] == 0 for r in removed_by(rows, batches))
 
 
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_only_strings_asked_for_are_sorted(letters, monkeypatch):
+    direct = []
+
+    def counted(words, places, depth, whole=suffixes._sort_directly):
+        direct.append(len(places))
+        return whole(words, places, depth)
+
+    monkeypatch.setattr(suffixes, "_sort_directly", counted)
+    r = np.random.default_rng(letters)
+    pool = r.integers(97, 97 + letters, 300).astype(np.uint8)
+    parts = [pool[a : a + 56] if k % 2 else r.integers(0, 256, 56).astype(np.uint8) for k, a in enumerate(r.integers(0, 244, 200))]
+    text, at, doc = np.concatenate(parts), (np.arange(200)[:, None] * 56 + np.arange(7)).ravel(), np.repeat(r.integers(0, 50, 200), 7)
+    first = {}
+    for i, d in zip(at.tolist(), doc.tolist(), strict=True):
+        first[text[i : i + 50].tobytes()] = min(d, first.get(text[i : i + 50].tobytes(), d))
+    late = suffixes.earlier(text, at, doc)
+    assert late.tolist() == [first[text[i : i + 50].tobytes()] < d for i, d in zip(at.tolist(), doc.tolist(), strict=True)] and late.any()
+    assert sum(direct) <= len(at)  # one directly sorted suffix places each string at most; the other 49 of 56 bytes begin none
+
+    wanted = r.random(len(text)) < 0.1
+    order = [i for i in suffixes.two_stage_sort(text, len(text), wanted).tolist() if wanted[i]]
+    assert order == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: text[i:].tobytes())
+
+
+def test_common_prefixes():
+    r = np.random.default_rng(3)
+    text = np.concatenate([r.integers(0, 2, 900) * 255, np.zeros(60, int), r.integers(0, 256, 100), np.full(100, 7)]).astype(np.uint8)
+    order = r.integers(0, len(text) - 50, 2000)
+    order[::5] = order[1::5]
+    raw = text.tobytes()
+    want = [0] + [next((k for k in range(50) if raw[a + k] != raw[b + k]), 50) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+    assert suffixes.common_prefixes(suffixes._words(text, 72), order, 50).tolist() == want
+
+
 # ---- 3
 
 
