@@ -78,10 +78,29 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
+class _Memo(dict):
+    """Ids (decimals with a space between) of pre-tokens, looked up here and made where they are missing. Once half of the entries that may be held
+    are new, they become the old half and the old half goes: what keeps coming back stays, at most `most` are held."""
+
+    def __init__(self, make, most: int, longest: int):
+        self.make, self.half, self.longest, self.old = make, max(1, most // 2), longest, {}
+
+    def __missing__(self, t: str) -> str:
+        ids = self.old.get(t)
+        if ids is None:
+            ids = self.make(t)
+        if len(t) <= self.longest:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[t] = ids
+        return ids
+
+
 class Codec:
     """Ranks (token bytes to id) and a pattern of pre-tokens, as an encoder and decoder."""
 
-    #: Distinct pre-tokens whose ids a task remembers, at most (at that many it starts afresh), and characters of the longest of them:
+    #: Distinct pre-tokens whose ids a task remembers, at most (beyond, those that came up longest ago go first), and characters of the longest of them:
     #: about 200 MB at most, and some 40 MB for usual texts.
     REMEMBERED, LONGEST = 1 << 18, 32
 
@@ -92,10 +111,17 @@ class Codec:
     def _start(self):
         ranks = self.ranks
         self._find = regex.compile(self.pattern).findall
-        self._seen: dict[str, str] = {}
         self._byte = [ranks[bytes([x])] for x in range(256)]
-        self._pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        # by the left id: the right id to what both merge to; the last, of no token, merges with nothing
+        self._right: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 2)]
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    self._right[ranks[t[:i]]][ranks[t[i:]]] = r
         self._tokens = {r: t for t, r in ranks.items()}
+        self._decimals = {r: str(r) for r in self._tokens}
+        self._by_decimals = {str(r): t for r, t in self._tokens.items()}
+        self._seen = _Memo(self._ids, self.REMEMBERED, self.LONGEST)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -113,53 +139,51 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until no pair is in the vocabulary.
 
-        The heap holds rank and place of pairs of neighbours; want[i] is the rank that the pair at i has now, so that
-        entries of pairs which are gone are passed over.
+        The heap holds rank and place of pairs of neighbours, as rank * n + place; want[i] is the entry that the pair at i has now, so
+        that entries of pairs which are gone are passed over. Behind the last byte, and before the first, is an id of no token.
         """
-        byte, pair = self._byte, self._pairs.get
+        byte, right = self._byte, self._right
+        n, none = len(piece), len(right) - 1
         ids = [byte[x] for x in piece]
-        n = len(ids)
-        after, before, want, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, []
+        ids.append(none)
+        after, before, want, heap = list(range(1, n + 1)), list(range(-1, n)), [-1] * (n + 1), []
         for i in range(n - 1):
-            if (r := pair(ids[i] << 32 | ids[i + 1])) is not None:
-                want[i] = r
-                heap.append(r << 32 | i)
+            if (r := right[ids[i]].get(ids[i + 1])) is not None:
+                want[i] = x = r * n + i
+                heap.append(x)
         heapq.heapify(heap)
-        push, pop = heapq.heappush, heapq.heappop
+        push, pop, replace = heapq.heappush, heapq.heappop, heapq.heapreplace
         while heap:
-            x = pop(heap)
-            i, r = x & 0xFFFFFFFF, x >> 32
-            if want[i] != r:
+            x = heap[0]
+            i = x % n
+            if want[i] != x:
+                pop(heap)
                 continue
+            r = x // n
             j = after[i]
             after[i] = k = after[j]
-            ids[i], ids[j], want[i], want[j] = r, -1, -1, -1
-            if k < n:
-                before[k] = i
-                if (q := pair(r << 32 | ids[k])) is not None:
-                    want[i] = q
-                    push(heap, q << 32 | i)
-            if (h := before[i]) >= 0:
-                if (q := pair(ids[h] << 32 | r)) is not None:
-                    want[h] = q
-                    push(heap, q << 32 | h)
-                else:
-                    want[h] = -1
-        return [x for x in ids if x >= 0]
+            before[k] = i
+            ids[i], ids[j], want[j] = r, none, -1
+            if (q := right[r].get(ids[k])) is not None:
+                want[i] = q = q * n + i
+                replace(heap, q)
+            else:
+                want[i] = -1
+                pop(heap)
+            h = before[i]
+            if (q := right[ids[h]].get(r)) is not None:
+                want[h] = q = q * n + h
+                push(heap, q)
+            else:
+                want[h] = -1
+        return [x for x in ids if x != none]
+
+    def _ids(self, t: str) -> str:
+        return " ".join(map(self._decimals.__getitem__, self.word(t.encode("utf-8", "surrogatepass"))))
 
     def encode_text(self, text: str) -> str:
         """Ids as decimals with a space between."""
-        seen, out = self._seen, []
-        for t in self._find(text):
-            ids = seen.get(t)
-            if ids is None:
-                ids = " ".join(map(str, self.word(t.encode("utf-8", "surrogatepass"))))
-                if len(t) <= self.LONGEST:
-                    if len(seen) >= self.REMEMBERED:
-                        seen.clear()
-                    seen[t] = ids
-            out.append(ids)
-        return " ".join(out)
+        return " ".join(map(self._seen.__getitem__, self._find(text)))
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.encode_text(text).split()))
@@ -167,6 +191,10 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self._tokens.__getitem__, ids))
 
+    def decode_decimals(self, ids: list[str]) -> bytes:
+        """The same of ids as decimals."""
+        return b"".join(map(self._by_decimals.__getitem__, ids))
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -194,11 +222,11 @@ def bpe_encode(docs: DataFrame, codec: Codec, text: str = "text", digest: bool =
             out = {x: [] for x in made}
             for t in batch.column(at):
                 joined = codec.encode_text(t.as_py() or "")
-                found = list(map(int, joined.split(" "))) if joined else []
-                raw = codec.decode(found)
+                found = joined.split(" ") if joined else []
+                raw = codec.decode_decimals(found)
                 out["n_tokens"].append(len(found))
                 if "ids" in out:
-                    out["ids"].append(np.array(found, dtype=np.int32))
+                    out["ids"].append(np.array(list(map(int, found)), dtype=np.int32))
                 if digest:
                     out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())

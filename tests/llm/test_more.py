@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import embeddings, langid, licenses, lines, mixing, ordermin, pii, simhash, suffixes
+from tessera.llm import bpe, embeddings, langid, licenses, lines, mixing, ordermin, pii, simhash, suffixes
 from tessera.llm.common import roots
 from tests.conftest import SF
 from tests.llm.test_ops import BASE, SCHEMA, corpus, known, plain_simhash, prose, repeated, same, water
@@ -582,3 +582,41 @@ def test_pipeline_drops_and_repeats_by_brute_force(spark):
         assert abs(got - want) <= min(words[t] for _, t, _, s, _ in kept if s == f"s{k}") / 2 + 1
     taken = Counter(x["doc_id"] for x in mixed_rows)
     assert set(taken) <= {x[0] for x in kept} and max(taken.values()) <= 2
+
+
+# ---- 5
+
+
+def small_codec(seed: int) -> bpe.Codec:
+    r, ranks = random.Random(seed), {bytes([x]): x for x in range(256)}
+    made = [b"a", b"b", b"c", b" "]
+    while len(ranks) < 300:
+        if (t := r.choice(made) + r.choice(made)) not in ranks and len(t) < 9:
+            ranks[t] = len(ranks)
+            made.append(t)
+    return bpe.Codec(ranks, r"\S+|\s+")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merges_by_lowest_rank_leftmost_first(seed):
+    codec, r = small_codec(seed), random.Random(seed)
+    for n in [1, 2, 3, *range(4, 120, 5)]:
+        piece = bytes(r.choice(b"abc x") for _ in range(n))
+        parts = [piece[i : i + 1] for i in range(n)]
+        while pairs := [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in codec.ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ids = codec.merge(piece)
+        assert ids == [codec.ranks[x] for x in parts]
+        assert codec.decode(ids) == codec.decode_decimals(list(map(str, ids))) == piece
+
+
+def test_what_keeps_coming_back_is_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe.Codec, "REMEMBERED", 16)
+    made, whole = [], bpe.Codec.word
+    monkeypatch.setattr(bpe.Codec, "word", lambda self, piece: made.append(piece) or whole(self, piece))
+    codec = small_codec(0)
+    for k in range(200):
+        codec.encode_text(f"often x{k} y{k}")
+        assert len(codec._seen) + len(codec._seen.old) <= 16
+    assert made.count(b"often") == 1 and len(made) == 402  # and the space
